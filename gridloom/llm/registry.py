@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sharding
+from . import decontaminate, sharding, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op8_sharding": sharding.op8_sharding,
+        "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
 
@@ -16,4 +17,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.ORACLE,
         "op8_sharding": sharding.ORACLE,
+        "op10_substring_dedup": substring_dedup.ORACLE,
     }
