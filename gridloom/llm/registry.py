@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, sharding, substring_dedup
+from . import decontaminate, jaccard_join, sharding, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op8_sharding": sharding.op8_sharding,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
@@ -16,6 +17,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontaminate.ORACLE,
+        "op4_jaccard_join": jaccard_join.ORACLE,
         "op8_sharding": sharding.ORACLE,
         "op10_substring_dedup": substring_dedup.ORACLE,
     }
