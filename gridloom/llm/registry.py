@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, sharding, substring_dedup
+from . import decontaminate, jaccard_join, packing, sharding, substring_dedup
+
+MODULES = {
+    "op2_decontaminate": decontaminate,
+    "op4_jaccard_join": jaccard_join,
+    "op6_packing": packing,
+    "op8_sharding": sharding,
+    "op10_substring_dedup": substring_dedup,
+}
 
 
 def queries() -> dict:
-    return {
-        "op2_decontaminate": decontaminate.op2_decontaminate,
-        "op4_jaccard_join": jaccard_join.op4_jaccard_join,
-        "op8_sharding": sharding.op8_sharding,
-        "op10_substring_dedup": substring_dedup.op10_substring_dedup,
-    }
+    return {name: getattr(module, name) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op2_decontaminate": decontaminate.ORACLE,
-        "op4_jaccard_join": jaccard_join.ORACLE,
-        "op8_sharding": sharding.ORACLE,
-        "op10_substring_dedup": substring_dedup.ORACLE,
-    }
+    return {name: module.ORACLE for name, module in MODULES.items() if hasattr(module, "ORACLE")}
