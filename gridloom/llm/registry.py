@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, packing, sharding, substring_dedup
+from . import decontaminate, jaccard_join, packing, quality, sharding, substring_dedup
 
 MODULES = {
     "op2_decontaminate": decontaminate,
     "op4_jaccard_join": jaccard_join,
     "op6_packing": packing,
+    "op7_quality": quality,
     "op8_sharding": sharding,
     "op10_substring_dedup": substring_dedup,
 }
