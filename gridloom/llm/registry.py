@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, packing, quality, sharding, substring_dedup
+from . import decontaminate, jaccard_join, packing, quality, secrets, sharding, substring_dedup
 
 MODULES = {
     "op2_decontaminate": decontaminate,
@@ -10,6 +10,7 @@ MODULES = {
     "op6_packing": packing,
     "op7_quality": quality,
     "op8_sharding": sharding,
+    "op9_secrets": secrets,
     "op10_substring_dedup": substring_dedup,
 }
 
