@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,10 @@ def cut(df: DataFrame) -> DataFrame:
 
     Spark removes the files when the frame is collected as garbage (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of finished steps now
+    return done
 
 
 def buckets_for(df: DataFrame, per_partition: int = 4) -> int:

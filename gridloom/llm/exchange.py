@@ -13,9 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-U = np.uint64
+from .wordbatch import U, mix
 
 
 def firsts(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,25 +52,70 @@ def unpack(column: pa.ChunkedArray | pa.Array, dtype=U) -> np.ndarray:
 
 
 def values_of(column: pa.Array) -> list[np.ndarray]:
-    """Each row's 64-bit values, from an array<binary> column (null: none)."""
-    return [np.frombuffer(b"".join(x), dtype=U) if x else np.zeros(0, dtype=U) for x in column.to_pylist()]
+    """Each row's 64-bit values, from a binary column (null: none)."""
+    return [np.frombuffer(x or b"", dtype=U) for x in column.to_pylist()]
 
 
-def resolve(sent: DataFrame, told: DataFrame, judge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """``owner, found array<binary>``: for each owner the values for which ``judge`` says so.
+def _home(owners: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(owners.view(U)) % U(buckets)).astype(np.int64)
 
-    sent: packets (bucket, a, b); told: what slices decided themselves (owner, a).  judge gets a bucket's values and owners, ordered by both, and returns flags."""
+
+def by_home(values: np.ndarray, owners: np.ndarray, buckets: int) -> list[tuple[int, bytes, bytes]]:
+    """(bucket of the owners, values, owners): packets on their way back."""
+    home = _home(owners, buckets)
+    order = np.argsort(home, kind="stable")
+    v, o, home = np.ascontiguousarray(values[order]).tobytes(), np.ascontiguousarray(owners[order]).tobytes(), home[order]
+    edges = np.concatenate([[0], np.flatnonzero(home[1:] != home[:-1]) + 1, [len(home)]]).tolist() if len(home) else [0]
+    return [(int(home[x]), v[8 * x : 8 * y], o[8 * x : 8 * y]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+
+
+#: Packets by value that a bucket judges, and packets by owner of what slices decided themselves.
+SENT, TOLD = range(2)
+PACKET = "kind int, bucket int, a binary, b binary, c binary"
+
+
+def packet_rows(sent: list[tuple], told: list[tuple]) -> pa.RecordBatch:
+    rows = [(SENT, *x) for x in sent] + [(TOLD, *x) for x in told]
+    columns = [pa.array([r[0] for r in rows], type=pa.int32()), pa.array([r[1] for r in rows], type=pa.int32())]
+    columns += [pa.array([r[i] if i < len(r) else None for r in rows], type=pa.binary()) for i in (2, 3, 4)]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "bucket", "a", "b", "c"])
+
+
+def share(values: np.ndarray, owners: np.ndarray, buckets: int, judge) -> pa.RecordBatch:
+    """A slice's packets: one owner a value goes out; what the slice can decide is told."""
+    order, new, _ = firsts(values, owners)
+    v, o = values[order], owners[order]
+    flags = judge(v, o)
+    return packet_rows(packets(v[new], o[new], buckets), by_home(v[flags], o[flags], buckets))
+
+
+def exchange(packets: DataFrame, answer: Callable[[pa.Table], list[tuple]], collect: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Both ways: ``answer`` turns a bucket's packets by value into packets by owner; ``collect`` gets those of a bucket of owners, and the told ones, and makes rows."""
 
     def run(table: pa.Table) -> pa.Table:
+        kind = table["kind"].to_numpy()
+        told = table.filter(pa.array(kind == TOLD)).select(["kind", "bucket", "a", "b", "c"])
+        sent = table.filter(pa.array(kind == SENT))
+        return pa.concat_tables([told, pa.Table.from_batches([packet_rows([], answer(sent) if len(sent) else [])])])
+
+    return packets.groupBy("bucket").applyInArrow(run, PACKET).groupBy("bucket").applyInArrow(collect, schema)
+
+
+def resolve(packets: DataFrame, judge: Callable[[np.ndarray, np.ndarray], np.ndarray], buckets: int) -> DataFrame:
+    """``owner, found``: for each owner the values (8 bytes each) for which ``judge`` says so, given a bucket's values and owners, ordered by both."""
+
+    def answer(table: pa.Table) -> list[tuple]:
         values, owners = unpack(table["a"]), unpack(table["b"], np.int64)
         order = np.lexsort((owners, values))
         values, owners = values[order], owners[order]
         flags = judge(values, owners)
-        rows = by_owner(values[flags], owners[flags])
-        return pa.table({"owner": pa.array([r[0] for r in rows], type=pa.int64()), "a": pa.array([r[1] for r in rows], type=pa.binary())})
+        return by_home(values[flags], owners[flags], buckets)
+
+    def collect(table: pa.Table) -> pa.Table:
+        rows = by_owner(unpack(table["a"]), unpack(table["b"], np.int64))
+        return pa.table({"owner": pa.array([r[0] for r in rows], type=pa.int64()), "found": pa.array([r[1] for r in rows], type=pa.binary())})
 
-    answers = sent.groupBy("bucket").applyInArrow(run, "owner long, a binary")
-    return answers.unionByName(told.select("owner", "a")).groupBy("owner").agg(F.collect_list("a").alias("found"))
+    return exchange(packets, answer, collect, "owner long, found binary")
 
 
 def repeated(values: np.ndarray, owners: np.ndarray) -> np.ndarray:

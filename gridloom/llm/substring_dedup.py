@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import buckets_for, cut
-from .exchange import by_owner, firsts, later, packets, repeated, resolve, stream, values_of
+from .cluster import buckets_for
+from .exchange import PACKET, later, repeated, resolve, share, stream, values_of
 from .wordbatch import NOT_SPACE, U, Words, inside_rows, mix, rows_of, slices, sliding_min, windows
 
 GRAM = 8
-_STATE = "kind int, owner long, bucket int, n_words long, kept string, text string, a binary, b binary"
 _FINAL = "doc_id long, n_words long, n_removed long, removed array<struct<first:long,last:long>>, kept string"
 
 
@@ -67,26 +66,6 @@ class Windows:
         return [x[:-1] if x.endswith(b" ") else x for x in (raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
 
 
-def _state(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"kind": pa.int32(), "owner": pa.int64(), "bucket": pa.int32(), "n_words": pa.int64(), "kept": pa.string(), "text": pa.string(), "a": pa.binary(), "b": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], type=t) for k, t in kinds.items()], names=list(kinds))
-
-
-#: What a row of the state holds: a packet, values that a slice decided itself, a finished document, a document with windows in question.
-SENT, TOLD, DONE, OPEN = range(4)
-
-
-def _exchange_rows(values: np.ndarray, owners: np.ndarray, buckets: int, judge) -> list[dict]:
-    """One owner a value goes out; what this slice can decide is told."""
-    order, new, _ = firsts(values, owners)
-    v, o = values[order], owners[order]
-    flags = judge(v, o)
-    if judge is later:
-        flags &= ~new
-    told = [{"kind": TOLD, "owner": k, "a": x} for k, x in by_owner(v[flags], o[flags])]
-    return [{"kind": SENT, "bucket": k, "a": a, "b": b} for k, a, b in packets(v[new], o[new], buckets)] + told
-
-
 def remove_repeats(docs: DataFrame, width: int = 50, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_words``, ``n_removed``, ``removed`` (maximal runs of removed words: first, last) and ``kept`` (the words left, joined by one space)."""
     source = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -97,27 +76,19 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, doc: str = "doc_id", tex
             w = Windows(data, offsets, width)
             new = np.ones(len(w.first), dtype=bool)
             new[1:] = (w.selector[1:] != w.selector[:-1]) | (w.row[1:] != w.row[:-1])
-            yield _state(_exchange_rows(w.selector[new], rows_of(batch, "doc_id", lo, hi)[w.row[new]], buckets, repeated))
+            yield share(w.selector[new], rows_of(batch, "doc_id", lo, hi)[w.row[new]], buckets, repeated)
 
-    first = cut(source.mapInArrow(stream(selectors), _STATE).select("kind", "owner", "bucket", "a", "b"))
-    shared = resolve(first.where(F.col("kind") == SENT), first.where(F.col("kind") == TOLD), repeated)
+    shared = resolve(source.mapInArrow(stream(selectors), PACKET), repeated, buckets)
 
     def candidates(batch: pa.RecordBatch):
         for lo, hi, data, offsets in slices(batch.column(1)):
             w, ids = Windows(data, offsets, width), rows_of(batch, "doc_id", lo, hi)
             values = np.unique(np.concatenate(values_of(batch.column(2).slice(lo, hi - lo)) or [w.selector[:0]]))
             chosen = np.flatnonzero(np.isin(w.selector, values)) if len(values) else w.first[:0]
-            open_rows = np.zeros(hi - lo, dtype=bool)
-            open_rows[w.row[chosen]] = True
-            rows, kept = [], w.kept(np.zeros(len(w.words.start), dtype=bool))
-            texts = batch.column(1).slice(lo, hi - lo)
-            for r, n in enumerate(w.words.counts.tolist()):
-                rows.append({"kind": OPEN, "owner": int(ids[r]), "text": texts[r].as_py()} if open_rows[r] else {"kind": DONE, "owner": int(ids[r]), "n_words": n, "kept": kept[r].decode()})
-            yield _state(rows + _exchange_rows(w.hashes(chosen), ids[w.row[chosen]], buckets, later))
-
-    joined = source.join(shared.withColumnRenamed("owner", "doc_id"), "doc_id", "left").select("doc_id", "text", "found")
-    second = cut(joined.mapInArrow(stream(candidates), _STATE))
-    doomed = resolve(second.where(F.col("kind") == SENT), second.where(F.col("kind") == TOLD), later)
+            yield share(w.hashes(chosen), ids[w.row[chosen]], buckets, later)
+
+    joined = source.join(shared.withColumnRenamed("owner", "doc_id"), "doc_id").select("doc_id", "text", "found")
+    doomed = resolve(joined.mapInArrow(stream(candidates), PACKET), later, buckets)
 
     def final(batch: pa.RecordBatch):
         for lo, hi, data, offsets in slices(batch.column(1)):
@@ -146,10 +117,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, doc: str = "doc_id", tex
                 names=["doc_id", "n_words", "n_removed", "removed", "kept"],
             )
 
-    pending = second.where(F.col("kind") == OPEN).select(F.col("owner").alias("doc_id"), "text")
-    rest = pending.join(doomed.withColumnRenamed("owner", "doc_id"), "doc_id", "left").select("doc_id", "text", "found").mapInArrow(stream(final), _FINAL)
-    done = second.where(F.col("kind") == DONE).select(F.col("owner").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<first:long,last:long>>").alias("removed"), "kept")
-    return done.unionByName(rest)
+    return source.join(doomed.withColumnRenamed("owner", "doc_id"), "doc_id", "left").select("doc_id", "text", "found").mapInArrow(stream(final), _FINAL)
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
