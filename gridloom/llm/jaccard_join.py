@@ -28,13 +28,12 @@ from pyspark.sql import functions as F
 
 from .cluster import buckets_for, cut
 from .components import link
-from .exchange import by_owner, firsts, packets, repeated, resolve, stream, unpack
+from .exchange import PACKET, by_home, by_owner, exchange, firsts, packet_rows, packets, repeated, resolve, share, stream, unpack
 from .wordbatch import NOT_SPACE, U, Words, mix, packed, ragged, rows_of, shingle_sets, slices
 
 #: A token that more classes hold, or that as many as LOCAL rows of one slice hold, is of the frequent class.
 RARE, LOCAL = 32, 8
 _FREQUENT = RARE + 1
-SENT, TOLD, DOC = range(3)
 
 
 def _share(n: int, percent: int) -> int:
@@ -54,37 +53,26 @@ def _sets(column: pa.Array, k: int):
         yield lo, hi, tokens, ptr
 
 
-def _rows(names: dict, rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], type=t) for k, t in names.items()], names=list(names))
-
-
-_FIRST = {"kind": pa.int32(), "owner": pa.int64(), "bucket": pa.int32(), "a": pa.binary(), "b": pa.binary(), "doc_id": pa.int64(), "n": pa.int64()}
-_SECOND = {"kind": pa.int32(), "owner": pa.int64(), "bucket": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
-
-
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``class_id`` (smallest id with the same set) and ``component_id`` (smallest id reachable by links of ``percent`` Jaccard similarity)."""
     source = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     buckets = buckets_for(source)
 
-    def prefixes(batch: pa.RecordBatch):
+    def sizes(batch: pa.RecordBatch):
         for lo, hi, tokens, ptr in _sets(batch.column(1), shingle):
-            n, ids, owner = np.diff(ptr), rows_of(batch, "doc_id", lo, hi), _class_of(tokens, ptr)
+            n = np.diff(ptr)
+            yield pa.RecordBatch.from_arrays([pa.array(rows_of(batch, "doc_id", lo, hi)), pa.array(n), pa.array(_class_of(tokens, ptr), mask=n == 0)], names=["doc_id", "n", "owner"])
+
+    def prefixes(batch: pa.RecordBatch):
+        for _, _, tokens, ptr in _sets(batch.column(1), shingle):
+            n = np.diff(ptr)
             take = np.minimum(n, n - -(-percent * n // 100) + 1 + n // 20)
-            at = ragged(ptr[:-1], take)
-            values, owners = tokens[at], np.repeat(owner, take)
-            order, new, _ = firsts(values, owners)
-            v, o = values[order], owners[order]
-            flags = repeated(v, o)
-            rows = [{"kind": DOC, "doc_id": int(d), "n": int(m), "owner": int(c) if m else None, "bucket": int(c) % buckets} for d, m, c in zip(ids, n, owner, strict=True)]
-            rows += [{"kind": SENT, "bucket": k, "a": a, "b": b} for k, a, b in packets(v[new], o[new], buckets)]
-            yield _rows(_FIRST, rows + [{"kind": TOLD, "owner": k, "a": x} for k, x in by_owner(v[flags], o[flags])])
+            yield share(tokens[ragged(ptr[:-1], take)], np.repeat(_class_of(tokens, ptr), take), buckets, repeated)
 
-    first = cut(source.mapInArrow(stream(prefixes), "kind int, owner long, bucket int, a binary, b binary, doc_id long, n long"))
-    members = first.where(F.col("kind") == DOC).select("doc_id", "n", "owner")
+    members = cut(source.mapInArrow(stream(sizes), "doc_id long, n long, owner long"))
     classes = members.where("owner IS NOT NULL").groupBy("owner").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"))
-    shared = resolve(first.where(F.col("kind") == SENT), first.where(F.col("kind") == TOLD), repeated)
-    shared = shared.select("owner", F.aggregate("found", F.lit(0), lambda s, x: s + F.length(x)).alias("common"))
+    shared = resolve(source.mapInArrow(stream(prefixes), PACKET), repeated, buckets)
+    shared = shared.select("owner", F.length("found").alias("common"))
     able = cut(shared.join(classes, "owner").where(F.col("common") / 8 >= 1 + F.floor(F.col("n") * percent / 100 / 20)).select(F.col("class_id").alias("doc_id"), "n", "owner"))
 
     def whole(batch: pa.RecordBatch):
@@ -96,15 +84,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, *, doc
             v, o = values[order], owners[order]
             run = np.cumsum(new) - 1
             many = (np.bincount(run) >= LOCAL)[run] if len(v) else new
-            rows = [{"kind": TOLD, "owner": k, "a": x, "b": np.full(len(x) // 8, _FREQUENT, dtype=np.int64).tobytes()} for k, x in by_owner(v[many], o[many])]
+            told = [(k, a, b, np.full(len(a) // 8, _FREQUENT, dtype=np.int64).tobytes()) for k, a, b in by_home(v[many], o[many], buckets)]
             out = ~many | new
             flag = {k: x for k, _, x in packets(v[out], many[out].astype(np.int64), buckets)}
-            yield _rows(_SECOND, rows + [{"kind": SENT, "bucket": k, "a": a, "b": b, "c": flag[k]} for k, a, b in packets(v[out], o[out], buckets)])
+            yield packet_rows([(k, a, b, flag[k]) for k, a, b in packets(v[out], o[out], buckets)], told)
 
     chosen = source.join(able.select("doc_id", "owner"), "doc_id").select("doc_id", "text", "owner")
-    second = cut(chosen.mapInArrow(stream(whole), "kind int, owner long, bucket int, a binary, b binary, c binary"))
 
-    def count(table: pa.Table) -> pa.Table:
+    def count(table: pa.Table) -> list[tuple]:
         values, owners, many = unpack(table["a"]), unpack(table["b"], np.int64), unpack(table["c"], np.int64)
         order = np.lexsort((owners, values))
         values, owners, many = values[order], owners[order], many[order]
@@ -114,17 +101,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, *, doc
         df = np.add.reduceat(np.r_[True, (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])].astype(np.int64), start)
         df = np.where((df > RARE) | (np.add.reduceat(many, start) > 0), _FREQUENT, df)[run]
         known = (df > 1) & ~(many > 0)
-        a, b = by_owner(values[known], owners[known]), by_owner(df[known].astype(U), owners[known])
-        return pa.table({"owner": pa.array([x[0] for x in a], type=pa.int64()), "a": pa.array([x[1] for x in a], type=pa.binary()), "b": pa.array([x[1] for x in b], type=pa.binary())})
+        return [(k, a, b, c) for (k, a, b), (_, c, _) in zip(by_home(values[known], owners[known], buckets), by_home(df[known].astype(U), owners[known], buckets), strict=True)]
+
+    def gather(table: pa.Table) -> pa.Table:
+        values, owners, df = unpack(table["a"]), unpack(table["b"], np.int64), unpack(table["c"])
+        a, b = by_owner(values, owners), by_owner(df, owners)
+        return pa.table({"owner": pa.array([x[0] for x in a], type=pa.int64()), "tokens": pa.array([x[1] for x in a], type=pa.binary()), "df": pa.array([x[1] for x in b], type=pa.binary())})
 
-    answers = second.where(F.col("kind") == SENT).select("bucket", "a", "b", "c").groupBy("bucket").applyInArrow(count, "owner long, a binary, b binary")
-    known = answers.unionByName(second.where(F.col("kind") == TOLD).select("owner", "a", "b")).groupBy("owner").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
+    known = exchange(chosen.mapInArrow(stream(whole), PACKET), count, gather, "owner long, tokens binary, df binary")
 
     def ordered(batch: pa.RecordBatch):
         out = {"node": [], "n": [], "tokens": [], "keys": [], "central": []}
-        for node, n, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            tokens = np.frombuffer(b"".join(p["a"] for p in parts), dtype=U)
-            df = np.frombuffer(b"".join(p["b"] for p in parts), dtype=np.int64)
+        for node, n, tokens, df in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            tokens, df = np.frombuffer(tokens, dtype=U), np.frombuffer(df, dtype=np.int64)
             tokens, at = np.unique(tokens, return_index=True)
             df = df[at]
             least = _share(n, percent)
@@ -141,7 +130,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, *, doc
             out["central"].append(int(1000 * df.sum() // n))
         yield pa.RecordBatch.from_arrays([pa.array(out["node"], type=pa.int64()), pa.array(out["n"], type=pa.int64()), pa.array(out["tokens"], type=pa.binary()), pa.array(out["keys"], type=pa.list_(pa.int64())), pa.array(out["central"], type=pa.int64())], names=list(out))
 
-    index = known.join(able.select(F.col("doc_id").alias("owner"), "n"), "owner").select("owner", "n", "parts")
+    index = known.join(able.select(F.col("doc_id").alias("owner"), "n"), "owner").select("owner", "n", "tokens", "df")
     index = cut(index.mapInArrow(stream(ordered), "node long, n long, tokens binary, keys array<long>, central long"))
     postings = index.select(F.explode("keys").alias("key"), "node", "n", "central")
 
