@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, packing, quality, secrets, sharding, substring_dedup
+from . import decontaminate, jaccard_join, language, neighbours, packing, quality, secrets, sharding, substring_dedup
 
 MODULES = {
     "op2_decontaminate": decontaminate,
+    "op3_neighbours": neighbours,
     "op4_jaccard_join": jaccard_join,
+    "op5_language": language,
     "op6_packing": packing,
     "op7_quality": quality,
     "op8_sharding": sharding,
