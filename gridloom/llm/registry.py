@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language, neighbours, packing, quality, secrets, sharding, substring_dedup
+from . import decontaminate, jaccard_join, language, line_dedup, neighbours, packing, quality, secrets, sharding, substring_dedup
 
 MODULES = {
+    "op1_line_dedup": line_dedup,
     "op2_decontaminate": decontaminate,
     "op3_neighbours": neighbours,
     "op4_jaccard_join": jaccard_join,
