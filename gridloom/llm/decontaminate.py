@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import cut
+from .exchange import stream
 from .wordbatch import ALNUM, U, Words, inside_rows, mix, ragged, rows_of, slices
 
 _BLOCK = U(0x9FB21C651E98DF25)
@@ -191,10 +192,23 @@ def _scan_slice(batch, lo, hi, words, offsets, tables, ids, schema):
     return pa.RecordBatch.from_arrays([doc_id, pa.array(words.counts.astype(np.int64)), pa.array(n_hit.astype(np.int64)), found, pa.array(spans, type=schema.field("spans").type)], schema=schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents (all their columns) without any benchmark window."""
-    clean = find_benchmark(docs, benchmark, window).where("n_hit = 0").select("doc_id").distinct()
-    return docs.join(clean, "doc_id", "left_semi").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents (all their columns) without any benchmark window; nothing is shuffled."""
+    at = docs.columns.index(text)
+    for tables, _ in _passes(benchmark, item, item_text, window):
+        shared = docs.sparkSession.sparkContext.broadcast(tables)
+
+        def run(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for lo, _, data, offsets in slices(batch.column(at)):
+                words = Words(data, offsets, ALNUM, lower=True)
+                h = words.hashes()
+                for table in shared.value:
+                    keep[lo + np.searchsorted(words.ptr, table.search(words, h)[0], side="right") - 1] = False
+            yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(stream(run), docs.schema)
+    return docs
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import stream
-from .wordbatch import NOT_SPACE, U, Words, mix, ragged, rows_of, slices, windows
+from .wordbatch import NOT_SPACE, U, Words, mix, ragged, slices, windows
 
 TRAIN_ROWS, TRAIN_CHARS = 4000, 100_000
 #: A small sample is gone through more often, for STEPS steps at least.
@@ -115,28 +115,38 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str =
     return train([r.text for r in rows], [r.y for r in rows])
 
 
+def _scores(column: pa.Array, odds: np.ndarray, bias: float) -> np.ndarray:
+    """Probability of label 1 for each text of a column."""
+    out = [np.zeros(0)]
+    for _, _, data, offsets in slices(column):
+        words, inverse, ids, ptr, same = _slice_features(data, offsets)
+        sums = np.concatenate([[0.0], np.cumsum(odds[ids], dtype=np.float64)])
+        per_word, per_n = (sums[ptr[1:]] - sums[ptr[:-1]])[inverse] + same * float(odds[_SAME]), np.diff(ptr)[inverse] + same
+        total, n = (np.concatenate([[0], np.cumsum(x)]) for x in (per_word, per_n))
+        z = (total[words.ptr[1:]] - total[words.ptr[:-1]]) / np.maximum(n[words.ptr[1:]] - n[words.ptr[:-1]], 1) + bias
+        out.append(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+    return np.concatenate(out)
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, score`` (probability of label 1) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS numbers
 
     def run(batch: pa.RecordBatch):
-        odds, bias = shared.value
-        for lo, hi, data, offsets in slices(batch.column(1)):
-            words, inverse, ids, ptr, same = _slice_features(data, offsets)
-            sums = np.concatenate([[0.0], np.cumsum(odds[ids], dtype=np.float64)])
-            per_word, per_n = (sums[ptr[1:]] - sums[ptr[:-1]])[inverse] + same * float(odds[_SAME]), np.diff(ptr)[inverse] + same
-            total, n = (np.concatenate([[0], np.cumsum(x)]) for x in (per_word, per_n))
-            z = (total[words.ptr[1:]] - total[words.ptr[:-1]]) / np.maximum(n[words.ptr[1:]] - n[words.ptr[:-1]], 1) + bias
-            yield pa.RecordBatch.from_arrays([pa.array(rows_of(batch, "doc_id", lo, hi)), pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], names=["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch.column(1), *shared.value))], names=["doc_id", "score"])
 
     source = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return source.mapInArrow(stream(run), "doc_id long, score double")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents (all their columns) that the classifier doesn't reject."""
-    scored = score(docs, fit(docs, labels)).where(F.col("score") >= threshold).select("doc_id").distinct()
-    return docs.join(scored, "doc_id", "left_semi").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *, text: str = "text") -> DataFrame:
+    """The documents (all their columns) that the classifier doesn't reject; nothing is shuffled."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text=text)), docs.columns.index(text)
+
+    def run(batch: pa.RecordBatch):
+        yield batch.filter(pa.array(_scores(batch.column(at), *shared.value) >= threshold))
+
+    return docs.mapInArrow(stream(run), docs.schema)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
