@@ -11,7 +11,8 @@ in any common order, which is used twice:
 2. For the rest, in order of frequency (unknown to others first, rare ones by
    count, frequent ones last), with k = 2: single tokens of the rare class and
    2-token combinations of the frequent class are the index keys.  Classes
-   with a common key are compared; an exact count of the common tokens decides.
+   with a common key are compared: first by tests that all links pass (sizes,
+   odd sketches), then an exact count of the common tokens decides.
 
 Defined results: null or word-less texts are empty sets, linked with nothing;
 rows with a null id are left out; repeated rows are of one class; with fewer
@@ -34,6 +35,8 @@ from .wordbatch import NOT_SPACE, U, Words, mix, packed, ragged, rows_of, shingl
 #: A token that more classes hold, or that as many as LOCAL rows of one slice hold, is of the frequent class.
 RARE, LOCAL = 32, 8
 _FREQUENT = RARE + 1
+#: 64-bit words of a set's odd sketch.
+_ODD = 8
 
 
 def _share(n: int, percent: int) -> int:
@@ -111,7 +114,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, *, doc
     known = exchange(chosen.mapInArrow(stream(whole), PACKET), count, gather, "owner long, tokens binary, df binary")
 
     def ordered(batch: pa.RecordBatch):
-        out = {"node": [], "n": [], "tokens": [], "keys": [], "central": []}
+        out = {"node": [], "n": [], "known": [], "tokens": [], "keys": [], "central": [], "odd": []}
         for node, n, tokens, df in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             tokens, df = np.frombuffer(tokens, dtype=U), np.frombuffer(df, dtype=np.int64)
             tokens, at = np.unique(tokens, return_index=True)
@@ -125,14 +128,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, *, doc
             keys = np.concatenate([mix(rare + U(1)), mix(often[i] * U(0x2545F4914F6CDD1D) + mix(often[j] + U(2)))])
             out["node"].append(node)
             out["n"].append(n)
+            out["known"].append(len(tokens))
+            # the parity of the tokens in each of 512 places: sets differ in at least as many tokens as places
+            odd = np.bincount((mix(tokens + U(3)) % U(64 * _ODD)).astype(np.int64), minlength=64 * _ODD) & 1
+            out["odd"].append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
             out["tokens"].append(tokens.tobytes())
             out["keys"].append(keys.view(np.int64))
             out["central"].append(int(1000 * df.sum() // n))
-        yield pa.RecordBatch.from_arrays([pa.array(out["node"], type=pa.int64()), pa.array(out["n"], type=pa.int64()), pa.array(out["tokens"], type=pa.binary()), pa.array(out["keys"], type=pa.list_(pa.int64())), pa.array(out["central"], type=pa.int64())], names=list(out))
+        types = {"node": pa.int64(), "n": pa.int64(), "known": pa.int64(), "tokens": pa.binary(), "keys": pa.list_(pa.int64()), "central": pa.int64(), "odd": pa.list_(pa.int64())}
+        yield pa.RecordBatch.from_arrays([pa.array(out[k], type=t) for k, t in types.items()], names=list(types))
 
     index = known.join(able.select(F.col("doc_id").alias("owner"), "n"), "owner").select("owner", "n", "tokens", "df")
-    index = cut(index.mapInArrow(stream(ordered), "node long, n long, tokens binary, keys array<long>, central long"))
-    postings = index.select(F.explode("keys").alias("key"), "node", "n", "central")
+    index = cut(index.mapInArrow(stream(ordered), "node long, n long, known long, tokens binary, keys array<long>, central long, odd array<long>"))
+    keys = index.select(F.explode("keys").alias("key"), "node")
+    details = ["n", "known", *[f"odd{i}" for i in range(_ODD)]]
+    nodes = index.select("node", "central", "n", "known", *[F.col("odd")[i].alias(f"odd{i}") for i in range(_ODD)])
+
+    def compatible(x: str, y: str):
+        """Sizes, tokens known to others, and the odd places that differ leave room for the similarity."""
+        n = F.col(f"{x}n") + F.col(f"{y}n")
+        most, apart = F.least(f"{x}known", f"{y}known"), F.lit(0)
+        for i in range(_ODD):
+            apart = apart + F.bit_count(F.col(f"{x}odd{i}").bitwiseXOR(F.col(f"{y}odd{i}")))
+        return (100 * F.least(f"{x}n", f"{y}n") >= percent * F.greatest(f"{x}n", f"{y}n")) & ((100 + percent) * most >= percent * n) & ((100 + percent) * apart <= (100 - percent) * n)
 
     def overlap(batch: pa.RecordBatch):
         keep = []
@@ -147,7 +165,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, *, doc
         both = right.join(index.select(F.col("node").alias("a"), "n", F.col("tokens").alias("x")), "a")
         return both.select("a", "b", "n", "m", "x", "y").mapInArrow(stream(overlap), "a long, b long")
 
-    labels = link(postings, lambda x, y: 100 * F.least(f"{x}n", f"{y}n") >= percent * F.greatest(f"{x}n", f"{y}n"), verify, ["n"])
+    labels = link(keys, nodes, compatible, verify, details)
     named = members.join(classes.select("owner", "class_id"), "owner", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     named = named.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))

@@ -85,8 +85,8 @@ def test_rounds_lose_no_link(spark, monkeypatch):
     """With the least room, rounds of central nodes come first; components are the same."""
     from gridloom.llm import components
 
-    monkeypatch.setattr(components, "EXAMINED", 0)
-    monkeypatch.setattr(components, "PIVOTS", 1)
+    monkeypatch.setattr(components, "EXAMINED", (0, 0))
+    monkeypatch.setattr(components, "PIVOTS", (1, 40))
     rng = random.Random(3)
     keys = [(k, n) for k in range(6) for n in rng.sample(range(400), 200)]
     edges = {(a, b) for a in range(400) for b in range(a + 1, 400) if b - a == 7 and a % 5}
