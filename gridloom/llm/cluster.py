@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,18 +22,21 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *, tidy: bool = True) -> DataFrame:
     """df, computed once and written to the shared folder, so that a lost executor costs no recomputation and a second use no second run.
 
-    Spark removes the files when the frame is collected as garbage (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
-    shared_dir(df.sparkSession)
-    done = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of finished steps now
-    return done
+    Spark removes the files when the frame is collected as garbage (``spark.cleaner.referenceTracking.cleanCheckpoints``).  With tidy, garbage is
+    collected before the work begins: until then the shuffle files of the step before would stay."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    for _ in range(2 * tidy):  # the plan's handles go in the first round, what they held in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+    return df.checkpoint(eager=True)
 
 
-def buckets_for(df: DataFrame, per_partition: int = 4) -> int:
+def buckets_for(df: DataFrame, per_partition: int = 2) -> int:
     """Hash buckets for an exchange of what df's rows yield: in proportion to the input's partitions, so that a bucket's size doesn't grow."""
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(per_partition * df.rdd.getNumPartitions(), 2 * shuffle)
+    return max(per_partition * df.rdd.getNumPartitions(), shuffle)
