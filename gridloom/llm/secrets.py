@@ -160,29 +160,31 @@ class Field:
         row = np.searchsorted(ptr, doubt, side="right")
         new = np.r_[True, (np.diff(doubt) > 1) | (row[1:] != row[:-1])]
         edges = np.append(np.flatnonzero(new), len(doubt))
-        starts = set(ptr.tolist())
-        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            lo, hi = int(doubt[i]), int(doubt[j - 1]) + 1
-            labels[lo:hi] = self._viterbi(e[lo:hi].tolist(), lo in starts, hi in starts)
+        lo, hi = doubt[edges[:-1]], doubt[edges[1:] - 1] + 1
+        first, last = np.isin(lo, ptr), np.isin(hi, ptr)
+        size = hi - lo
+        for n in np.unique(size):  # stretches of one length at once
+            i = np.flatnonzero(size == n)
+            at = lo[i][:, None] + np.arange(n)
+            labels[at] = self._viterbi(e[at], first[i], last[i])
         return labels
 
-    def _viterbi(self, e: list[list[float]], first: bool, last: bool) -> list[int]:
-        """The best labels of a stretch; unless it begins or ends the chain, the token beside it is outside."""
-        step = self.steps.tolist()
-        best = [e[0][y] + (step[_OUT][y] if not first else (-np.inf if y == _IN else 0)) for y in range(3)]
+    def _viterbi(self, e: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """The best labels of stretches (one a row) of one length; where one doesn't begin or end its chain, the token beside it is outside."""
+        start = np.array([0, 0, -np.inf])
+        best = e[:, 0] + np.where(first[:, None], start, self.steps[_OUT])
         back = []
-        for x in e[1:]:
-            come = [max(range(3), key=lambda z, y=y: best[z] + step[z][y]) for y in range(3)]
-            best = [best[come[y]] + step[come[y]][y] + x[y] for y in range(3)]
-            back.append(come)
-        if not last:
-            best = [best[y] + step[y][_OUT] for y in range(3)]
-        y = max(range(3), key=lambda z: best[z])
-        out = [y]
-        for come in reversed(back):
-            y = come[y]
-            out.append(y)
-        return out[::-1]
+        for t in range(1, e.shape[1]):
+            way = best[:, :, None] + self.steps
+            back.append(way.argmax(axis=1))
+            best = way.max(axis=1) + e[:, t]
+        best = best + np.where(last[:, None], 0, self.steps[:, _OUT])
+        out = np.empty(e.shape[:2], dtype=np.int8)
+        out[:, -1] = best.argmax(axis=1)
+        rows = np.arange(len(e))
+        for t in range(e.shape[1] - 2, -1, -1):
+            out[:, t] = back[t][rows, out[:, t + 1]]
+        return out
 
 
 def _secret_parts(text: str) -> list[tuple[int, int]]:
@@ -218,7 +220,9 @@ def train(texts: list[str], seed: int = 5) -> Field:
             if y[0] != _IN:
                 field.learn(x, y, 0.3 / (1 + epoch))
         if 1 <= epoch <= 3:  # lines that are tagged wrongly so far join in
-            wrong = [field.decode(field.emissions(c[3]), np.array([0, len(c[2])])).any() for c in other]
+            ends = np.cumsum([0, *(len(c[2]) for c in other)])
+            tagged = field.decode(field.emissions([np.concatenate(x) for x in zip(*(c[3] for c in other), strict=True)]), ends) if other else ends[:0]
+            wrong = [tagged[a:b].any() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             use += [c for c, bad in zip(other, wrong, strict=True) if bad]
             other = [c for c, bad in zip(other, wrong, strict=True) if not bad]
     return field
