@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,10 +62,9 @@ class SegmentTokenizer:
         found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         n = np.array([len(x) for x in found], dtype=np.int64)
         at = len(self.ids) + np.cumsum(n) - n
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], dtype=np.uint32)])
-        known = np.concatenate([self.known, h])
-        order = np.argsort(known)
-        self.known, self.at, self.n = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(n.sum()))])
+        place = np.searchsorted(self.known, h)  # both ascend
+        self.known, self.at, self.n = np.insert(self.known, place, h), np.insert(self.at, place, at), np.insert(self.n, place, n)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, row pointers) of the UTF-8 rows ``data[offsets[i]:offsets[i+1]]``."""
