@@ -137,6 +137,25 @@ def test_neighbours(spark, monkeypatch):
     assert [(r.vec_id, round(r.score, 6)) for r in neighbours.nearest(one, F.col("vec_id") == 0).collect()] == [(1, 0.707107)]
 
 
+def test_scattered_rows_among_copies_have_neighbours_too(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.repeat(rng.standard_normal((100, 32)), 24, axis=0), rng.standard_normal((60, 32))]).astype(np.float32)
+    x += rng.standard_normal(x.shape).astype(np.float32) / 1000
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = neighbours.nearest(frame, (F.col("vec_id") >= 2400) | (F.col("vec_id") % 100 == 0)).collect()
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    hits = 0
+    for q in [*range(0, 2400, 100), *range(2400, 2460)]:
+        mine = [r.vec_id for r in found if r.query_id == q]
+        assert len(mine) == 5 and q not in mine
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(set(mine) & set(np.argsort(-s)[:5].tolist())) if q >= 2400 else 0
+    assert hits >= 0.8 * 5 * 60
+    few = frame.where("vec_id < 2 OR vec_id >= 2458")
+    assert sorted(r["count"] for r in neighbours.nearest(few, F.lit(True)).groupBy("query_id").count().collect()) == [3] * 4
+
+
 def test_sharding(spark):
     names = [f"s{i}" for i in range(7)]
     table = sharding.fill_table(names, 997)
