@@ -1,11 +1,14 @@
 """The corpus pipeline stage by stage against brute force, on tables with nulls, copies and benchmark passages."""
 
 import random
+import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gridloom.llm.line_dedup import edit_distance
 from gridloom.llm.packing import SegmentTokenizer, public_tokenizer
 
 from .conftest import EDGES
@@ -81,3 +84,47 @@ def test_run_gives_what_the_stages_give(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(key, docs.collect()))
+
+
+def brute_lines(rows):
+    """Texts by id once repeated lines are gone: every pair of distinct normalised lines is compared."""
+    normal = lambda x: " ".join(re.findall("[0-9a-z\u0080-\U0010ffff]+", re.sub("[0-9]", "0", x.lower())))
+    distinct = sorted({normal(x) for _, t in rows for x in t.split("\n")} - {""})
+    group = {x: x for x in distinct}
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            d = int(0.15 * max(len(a), len(b)) + 1e-9)
+            if group[a] != group[b] and abs(len(a) - len(b)) <= d and edit_distance(a, b) <= d:
+                old, new = group[a], group[b]
+                group = {x: new if g == old else g for x, g in group.items()}
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        kept = []
+        for x in t.split("\n"):
+            g = group.get(normal(x))
+            if g is None or g not in seen:
+                kept.append(x)
+            seen.add(g)
+        out[i] = "\n".join(kept)
+    return out
+
+
+def test_lines_against_brute_force(spark):
+    """Near copies of documents, each with one changed line: no fragment of them may be left."""
+    rng = random.Random(12)
+    part = ["on", "er", "th", "ing", "ka", "lo", "mi", "ze", "ur", "pra", "dis", "bo"]
+    words = ["".join(rng.choice(part) for _ in range(rng.randrange(1, 4))) for _ in range(700)]
+    rows = []
+    for i in range(40):
+        text = [" ".join(rng.choice(words) for _ in range(rng.choice([8, 12, 18, 30]))) for _ in range(3)]
+        copy = list(text)
+        w = copy[i % 3].split(" ")
+        at = rng.randrange(len(w))
+        w[at] = w[at] + "q" if i % 2 else rng.choice(words)
+        copy[i % 3] = " ".join(w)
+        rows += [(i, "\n".join(text)), (1000 + i, "\n".join(copy))]
+    wanted = {i: t for i, t in brute_lines(rows).items() if t}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text")).repartition(3)
+    kept = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, frame, None).collect()}
+    assert kept == {i: (t, len(t)) for i, t in wanted.items()}
+    assert sum(i >= 1000 for i in kept) < 5
