@@ -238,6 +238,21 @@ def fit(docs: DataFrame, *, doc: str = "doc_id", text: str = "text") -> Field:
     return train([r.text for r in rows])
 
 
+def outside(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a span outside those taken: all of it, or its parts that hold letters or digits, without blanks around."""
+    parts = [(start, end)]
+    for x, y in taken:
+        parts = [(a, b) for s, t in parts for a, b in ([(s, t)] if t <= x or s >= y else [(s, min(x, t)), (max(y, s), t)]) if a < b]
+    if parts == [(start, end)]:
+        return parts
+    found = []
+    for s, t in parts:
+        part = text[s:t]
+        if any(c.isalnum() for c in part):
+            found.append((s + len(part) - len(part.lstrip()), t - len(part) + len(part.rstrip())))
+    return found
+
+
 def scan(docs: DataFrame, field: Field, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, spans``: kind, start and end (code points, end exclusive) of every secret, by start and kind."""
     shared = docs.sparkSession.sparkContext.broadcast(field)  # tables of fixed size
@@ -263,8 +278,7 @@ def scan(docs: DataFrame, field: Field, *, doc: str = "doc_id", text: str = "tex
                 for a, b in added.get(r, ()):
                     s = len(raw[: a - offsets[r]].decode())
                     t = s + len(raw[a - offsets[r] : b - offsets[r]].decode())
-                    if all(t <= x or s >= y for x, y in taken):
-                        spans.append((s, 3, t))
+                    spans += [(x, 3, y) for x, y in outside(value, s, t, taken)]
                 out.append([{"kind": KINDS[k], "start": s, "end": t} for s, k, t in sorted(spans)])
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array(rows_of(batch, "doc_id", lo, hi)), pa.array(out, type=kind)], names=["doc_id", "spans"])

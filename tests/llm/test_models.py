@@ -80,6 +80,25 @@ def test_scan_and_viterbi(docs):
     assert sum(field.decode(field.emissions(tokens.features()), ptr) == 1) >= 55
 
 
+class TagAll:
+    """A field that tags each text as one secret."""
+
+    def emissions(self, features):
+        return features
+
+    def decode(self, emissions, ptr):
+        labels = np.full(ptr[-1], secrets._IN)
+        labels[ptr[:-1][np.diff(ptr) > 0]] = secrets._BEGIN
+        return labels
+
+
+def test_tagged_parts_around_a_pattern_stay(docs):
+    core = "0123456789abcdef" * 2
+    texts = [f"live {core} tail", f"live {core}", core, "live tail"]
+    found = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "crf"] for r in secrets.scan(docs(texts), TagAll()).collect()}
+    assert found == {0: ["live", "tail"], 1: ["live"], 2: [], 3: ["live tail"]}
+
+
 def test_language(spark):
     rng = random.Random(4)
     stock = {"en": "the and with from house this that river".split(), "de": "der und nicht haus straße für eine über".split(), "fr": "le et avec maison été vous dans pour".split()}
