@@ -7,6 +7,7 @@ import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,15 @@ def cut(df: DataFrame, *, tidy: bool = True) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows up to which a frame of a few numbers a row is broadcast (some 10 MB); larger ones are joined by shuffle.
+BESIDE = 200_000
+
+
+def beside(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast join if its rows, counted here, are few enough."""
+    return F.broadcast(df) if df.count() <= BESIDE else df
+
+
 def buckets_for(df: DataFrame, per_partition: int = 2) -> int:
     """Hash buckets for an exchange of what df's rows yield: in proportion to the input's partitions, so that a bucket's size doesn't grow."""
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

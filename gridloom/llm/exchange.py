@@ -69,6 +69,12 @@ def by_home(values: np.ndarray, owners: np.ndarray, buckets: int) -> list[tuple[
     return [(int(home[x]), v[8 * x : 8 * y], o[8 * x : 8 * y]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def tallied(owners: np.ndarray, buckets: int) -> list[tuple[int, bytes, bytes]]:
+    """(bucket of the owners, how often each occurs, owners)."""
+    each, times = np.unique(owners, return_counts=True)
+    return by_home(times.astype(U), each, buckets)
+
+
 #: Packets by value that a bucket judges, and packets by owner of what slices decided themselves.
 SENT, TOLD = range(2)
 PACKET = "kind int, bucket int, a binary, b binary, c binary"

@@ -3,16 +3,23 @@
 A document is the set of its distinct k-word shingles ("tokens", 64-bit
 hashes); equal sets are one class.  Sets of sizes n, m with Jaccard similarity
 t or more share k tokens within the first ``n - ceil(t n) + k`` tokens of each
-in any common order, which is used twice:
+in any common order, for every k up to their overlap.  This is used twice:
 
 1. By hash order, with a prefix extended by a twentieth of the set: a class
    that shares too few of these tokens with other classes can't link at all.
    Only prefixes travel, and most documents end here.
-2. For the rest, in order of frequency (unknown to others first, rare ones by
-   count, frequent ones last), with k = 2: single tokens of the rare class and
-   2-token combinations of the frequent class are the index keys.  Classes
-   with a common key are compared: first by tests that all links pass (sizes,
-   odd sketches), then an exact count of the common tokens decides.
+2. By frequency.  First each class is compared with the most central class of
+   those that share one of its smallest hashes, which joins groups of near
+   copies.  Frequencies then count components, not classes: a token that only
+   one component holds can't lead to a new link.  In the order of unknown,
+   rare (by count) and frequent tokens the prefix is extended by a tenth of
+   the set.  Single tokens of the rare class are index keys; tokens of the
+   frequent class are dealt to fewer places than the shared ones that the
+   prefix must hold, so two of them share a place, and 2-token combinations
+   within a place are keys.  A key's classes are compared where they meet:
+   sizes and the tokens known to other components first (the smaller class
+   needs nearly all its tokens known, so most lists have no pair), then odd
+   sketches; the rest is verified by an exact count of common tokens.
 
 Defined results: null or word-less texts are empty sets, linked with nothing;
 rows with a null id are left out; repeated rows are of one class; with fewer
@@ -22,21 +29,24 @@ are read.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import buckets_for, cut
-from .components import link
-from .exchange import PACKET, by_home, by_owner, exchange, firsts, packet_rows, packets, repeated, resolve, share, stream, unpack
+from .cluster import beside, buckets_for, cut
+from .components import components
+from .exchange import PACKET, by_home, by_owner, exchange, firsts, packet_rows, packets, stream, tallied, unpack
 from .wordbatch import NOT_SPACE, U, Words, mix, packed, ragged, rows_of, shingle_sets, slices
 
-#: A token that more classes hold, or that as many as LOCAL rows of one slice hold, is of the frequent class.
+#: A token that more components hold, or that as many as LOCAL classes of one slice hold, is of the frequent class.
 RARE, LOCAL = 32, 8
 _FREQUENT = RARE + 1
-#: 64-bit words of a set's odd sketch.
-_ODD = 8
+#: 64-bit words of a set's odd sketch; smallest hashes by which central classes are found; tokens and pairs handled at once.
+_ODD, _MINIMA, _TOKENS, _PAIRS = 8, 4, 1 << 20, 1 << 20
 
 
 def _share(n: int, percent: int) -> int:
@@ -56,6 +66,88 @@ def _sets(column: pa.Array, k: int):
         yield lo, hi, tokens, ptr
 
 
+def _odd(tokens: np.ndarray) -> np.ndarray:
+    """The parity of the tokens in each of 512 places: sets differ in at least as many tokens as places."""
+    odd = np.bincount((mix(tokens + U(3)) % U(64 * _ODD)).astype(np.int64), minlength=64 * _ODD) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def band_of(n: int, percent: int) -> int:
+    """Size bands whose width is a little over the largest ratio of linked sizes: partners are of one band or of neighbours."""
+    return int(math.log(n) / math.log(1.001 * 100 / percent))
+
+
+def combined(band: int, percent: int) -> int:
+    """How many shared tokens the prefixes of a band's index hold: no more than any overlap there, and a tenth of the set or so."""
+    least = max(1, math.ceil((1.001 * 100 / percent) ** band - 1e-6))
+    return min(_share(least, percent), max(2, 1 + least // 10))
+
+
+def index_keys(n: int, tokens: np.ndarray, df: np.ndarray, percent: int) -> np.ndarray:
+    """Index keys of a class of n tokens, of which ``tokens`` are known to other components, ``df`` of them."""
+    order, band, spare = np.lexsort((tokens, df)), band_of(n, percent), n - _share(n, percent) - (n - len(tokens))
+    tokens, often = tokens[order], df[order] > RARE
+    out = []
+    for b in (band, band + 1):
+        k = combined(b, percent)
+        prefix = slice(0, max(0, spare + k))
+        out.append(mix(tokens[prefix][~often[prefix]] + U(1)))
+        common = tokens[prefix][often[prefix]]
+        if k == 1:
+            out.append(mix(common + U(1)))
+            continue
+        place = (mix(common + U(5)) % U(k - 1)).astype(np.int64)
+        common = common[np.argsort(place, kind="stable")]
+        size = np.bincount(place, minlength=k - 1)
+        behind = np.concatenate([np.arange(x - 1, -1, -1) for x in size.tolist() if x] or [np.zeros(0, dtype=np.int64)])
+        i = np.repeat(np.arange(len(common)), behind)
+        j = ragged(np.arange(len(common)) + 1, behind)
+        x, y = np.minimum(common[i], common[j]), np.maximum(common[i], common[j])
+        out.append(mix(x * U(0x2545F4914F6CDD1D) + mix(y + U(2 + 0x9E3779B97F4A7C15 * b & 0xFFFFFFFFFFFFFFFF))))
+    return np.unique(np.concatenate(out))
+
+
+def meetings(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, known: np.ndarray, odd: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes (smaller first) that share a key, are of different components, and that sizes, known tokens and odd sketches let link."""
+    order = np.lexsort((n, key))
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+    run = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1 if len(key) else first
+    c = comp[order]
+    # at most this size may a partner have: the overlap is in what both know
+    reach = (100 + percent) * known[order] // percent - n[order]
+    if len(key):
+        mixed = (np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)) & (np.maximum.reduceat((reach >= n[order]).astype(np.int8), first) > 0)
+        keep = mixed[run]
+        order, run, reach = order[keep], run[keep], reach[keep]
+    size, c = n[order], comp[order]
+    # the smaller one of a pair reaches the larger one, both ways
+    place = run * (1 << 32)
+    upto = np.searchsorted(place + size, place + np.minimum(np.minimum(reach, size * 100 // percent), (1 << 32) - 1), side="right")
+    partners = np.where(reach >= size, np.maximum(upto - np.arange(len(size)) - 1, 0), 0)
+    total = np.cumsum(partners)
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, side="right")))
+        i = np.repeat(np.arange(at, to), partners[at:to])
+        j = ragged(np.arange(at, to) + 1, partners[at:to])
+        good = (c[i] != c[j]) & (size[i] <= reach[j])
+        i, j = i[good], j[good]
+        apart = np.bitwise_count((odd[order[i]] ^ odd[order[j]]).view(U)).sum(axis=1, dtype=np.int64)
+        good = (100 + percent) * apart <= (100 - percent) * (size[i] + size[j])
+        a, b = node[order[i[good]]], node[order[j[good]]]
+        yield np.minimum(a, b), np.maximum(a, b)
+        at = to
+
+
+def _unique_pairs(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 2
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, dtype=bool)
+    return a[new], b[new]
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_shingles``, ``class_id`` (smallest id with the same set) and ``component_id`` (smallest id reachable by links of ``percent`` Jaccard similarity)."""
     source = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -70,107 +162,147 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, *, doc
         for _, _, tokens, ptr in _sets(batch.column(1), shingle):
             n = np.diff(ptr)
             take = np.minimum(n, n - -(-percent * n // 100) + 1 + n // 20)
-            yield share(tokens[ragged(ptr[:-1], take)], np.repeat(_class_of(tokens, ptr), take), buckets, repeated)
+            values, owners = tokens[ragged(ptr[:-1], take)], np.repeat(_class_of(tokens, ptr), take)
+            order, new, _ = firsts(values, owners)
+            v, o = values[order], owners[order]
+            told = _shared(v, o)
+            flag = {k: x for k, _, x in packets(v[new], told[new].astype(np.int64), buckets)}
+            yield packet_rows([(k, a, b, flag[k]) for k, a, b in packets(v[new], o[new], buckets)], tallied(o[told], buckets))
+
+    def count_shared(table: pa.Table) -> list[tuple]:
+        values, owners, told = unpack(table["a"]), unpack(table["b"], np.int64), unpack(table["c"], np.int64)
+        order = np.lexsort((owners, values))
+        shared = _shared(values[order], owners[order]) & (told[order] == 0)
+        return tallied(owners[order][shared], buckets)
+
+    def add_up(table: pa.Table) -> pa.Table:
+        owners, back = np.unique(unpack(table["b"], np.int64), return_inverse=True)
+        return pa.table({"owner": pa.array(owners), "common": pa.array(np.bincount(back, unpack(table["a"], np.int64), len(owners)).astype(np.int64))})
 
     members = cut(source.mapInArrow(stream(sizes), "doc_id long, n long, owner long"))
     classes = members.where("owner IS NOT NULL").groupBy("owner").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"))
-    shared = resolve(source.mapInArrow(stream(prefixes), PACKET), repeated, buckets)
-    shared = shared.select("owner", F.length("found").alias("common"))
-    able = cut(shared.join(classes, "owner").where(F.col("common") / 8 >= 1 + F.floor(F.col("n") * percent / 100 / 20)).select(F.col("class_id").alias("doc_id"), "n", "owner"))
+    shared = exchange(source.mapInArrow(stream(prefixes), PACKET), count_shared, add_up, "owner long, common long")
+    able = cut(shared.join(classes, "owner").where(F.col("common") >= 1 + F.floor(F.col("n") * percent / 100 / 20)).select(F.col("class_id").alias("doc_id"), "n", "owner", "common"))
 
     def whole(batch: pa.RecordBatch):
         for lo, hi, tokens, ptr in _sets(batch.column(1), shingle):
-            ids, expected = rows_of(batch, "doc_id", lo, hi), rows_of(batch, "owner", lo, hi)
-            n = np.where(_class_of(tokens, ptr) == expected, np.diff(ptr), 0)  # rows of one id with other texts aren't this class
-            values, owners = tokens[ragged(ptr[:-1], n)], np.repeat(ids, n)
-            order, new, _ = firsts(values, owners)
-            v, o = values[order], owners[order]
+            n = np.diff(ptr)
+            ok = np.flatnonzero((_class_of(tokens, ptr) == rows_of(batch, "owner", lo, hi)) & (n > 0))  # rows of one id with other texts aren't this class
+            raw = packed(tokens, ptr)
+            odd = [_odd(tokens[ptr[r] : ptr[r + 1]]) for r in ok]
+            least = [tokens[ptr[r] : min(ptr[r + 1], ptr[r] + _MINIMA)].view(np.int64) for r in ok]
+            central = 1000 * rows_of(batch, "common", lo, hi) // np.maximum(n, 1)
+            columns = {"node": rows_of(batch, "doc_id", lo, hi)[ok], "n": n[ok], "central": central[ok], "tokens": [raw[r] for r in ok]}
+            types = {"node": pa.int64(), "n": pa.int64(), "central": pa.int64(), "tokens": pa.binary()}
+            arrays = [pa.array(columns[k], type=t) for k, t in types.items()] + [pa.array(x, type=pa.list_(pa.int64())) for x in (least, odd)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*types, "least", "odd"])
+
+    chosen = source.join(beside(able), "doc_id").select("doc_id", "text", "owner", "common")
+    found = chosen.mapInArrow(stream(whole), "node long, n long, central long, tokens binary, least array<long>, odd array<long>")
+    twice = not members.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()  # then a set may have come several times
+    sets = cut(found.dropDuplicates(["node"]) if twice else found)
+
+    def overlap(batch: pa.RecordBatch):
+        keep = []
+        for i, (n, m, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True)):
+            both = len(np.intersect1d(np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U), assume_unique=True))
+            if 100 * both >= percent * (n + m - both):
+                keep.append(i)
+        yield batch.take(pa.array(keep, type=pa.int64())).select(["a", "b"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        right = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y")), "b")
+        both = right.join(sets.select(F.col("node").alias("a"), "n", F.col("tokens").alias("x")), "a")
+        return cut(both.select("a", "b", "n", "m", "x", "y").mapInArrow(stream(overlap), "a long, b long"))
+
+    # the most central class of each smallest hash against the others that have it
+    met = sets.select(F.explode("least").alias("key"), "node", "n", "central", "odd")
+    middle = met.groupBy("key").agg(F.max(F.struct("central", F.negative("node").alias("before"), "n", "odd")).alias("p"), F.count("*").alias("times")).where("times > 1").select("key", "p")
+    apart = F.aggregate(F.zip_with("odd", F.col("p.odd"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    other = F.negative("p.before")
+    pairs = met.join(middle, "key").where((F.col("node") != other) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("p.n"))))
+    edges = verify(pairs.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct())
+    labels = components(edges)
+    placed = sets.join(labels.withColumnRenamed("component", "c"), "node", "left").select("node", "tokens", F.coalesce("c", "node").alias("c"))
+
+    def known_to_others(batch: pa.RecordBatch):
+        """Tokens with their class and component, one of each that many classes of the slice have."""
+        nodes, comps, raw = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(1).to_pylist()
+        n = np.array([len(x) // 8 for x in raw], dtype=np.int64)
+        edges = np.flatnonzero(np.diff(np.r_[-1, np.cumsum(n) // _TOKENS]))
+        for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(n)], strict=True):
+            values, at = np.frombuffer(b"".join(raw[lo:hi]), dtype=U), np.repeat(np.arange(lo, hi), n[lo:hi])
+            order = np.argsort(values, kind="stable")
+            v, at = values[order], at[order]
+            new = np.r_[True, v[1:] != v[:-1]] if len(v) else np.zeros(0, dtype=bool)
             run = np.cumsum(new) - 1
             many = (np.bincount(run) >= LOCAL)[run] if len(v) else new
-            told = [(k, a, b, np.full(len(a) // 8, _FREQUENT, dtype=np.int64).tobytes()) for k, a, b in by_home(v[many], o[many], buckets)]
+            told = [(k, a, b, np.full(len(a) // 8, _FREQUENT, dtype=np.int64).tobytes()) for k, a, b in by_home(v[many], nodes[at[many]], buckets)]
             out = ~many | new
-            flag = {k: x for k, _, x in packets(v[out], many[out].astype(np.int64), buckets)}
-            yield packet_rows([(k, a, b, flag[k]) for k, a, b in packets(v[out], o[out], buckets)], told)
-
-    chosen = source.join(able.select("doc_id", "owner"), "doc_id").select("doc_id", "text", "owner")
+            # a component's number is its class's, or follows; the sign of a flagged one is of no use
+            comp = {k: x for k, _, x in packets(v[out], np.where(many, -1, comps[at])[out], buckets)}
+            yield packet_rows([(k, a, b, comp[k]) for k, a, b in packets(v[out], nodes[at[out]], buckets)], told)
 
     def count(table: pa.Table) -> list[tuple]:
-        values, owners, many = unpack(table["a"]), unpack(table["b"], np.int64), unpack(table["c"], np.int64)
-        order = np.lexsort((owners, values))
-        values, owners, many = values[order], owners[order], many[order]
-        new = np.ones(len(values), dtype=bool)
-        new[1:] = values[1:] != values[:-1]
-        run, start = np.cumsum(new) - 1, np.flatnonzero(new)
-        df = np.add.reduceat(np.r_[True, (values[1:] != values[:-1]) | (owners[1:] != owners[:-1])].astype(np.int64), start)
-        df = np.where((df > RARE) | (np.add.reduceat(many, start) > 0), _FREQUENT, df)[run]
-        known = (df > 1) & ~(many > 0)
+        values, owners, comps = unpack(table["a"]), unpack(table["b"], np.int64), unpack(table["c"], np.int64)
+        order = np.lexsort((comps, values))
+        values, owners, comps = values[order], owners[order], comps[order]
+        new = np.r_[True, values[1:] != values[:-1]] if len(values) else np.zeros(0, dtype=bool)
+        start, run = np.flatnonzero(new), np.cumsum(new) - 1
+        df = np.add.reduceat((new | np.r_[True, comps[1:] != comps[:-1]]).astype(np.int64), start) if len(values) else start
+        df = np.where((df > RARE) | (comps[start] == -1), _FREQUENT, df)[run]
+        known = (df > 1) & (comps != -1)
         return [(k, a, b, c) for (k, a, b), (_, c, _) in zip(by_home(values[known], owners[known], buckets), by_home(df[known].astype(U), owners[known], buckets), strict=True)]
 
     def gather(table: pa.Table) -> pa.Table:
         values, owners, df = unpack(table["a"]), unpack(table["b"], np.int64), unpack(table["c"])
         a, b = by_owner(values, owners), by_owner(df, owners)
-        return pa.table({"owner": pa.array([x[0] for x in a], type=pa.int64()), "tokens": pa.array([x[1] for x in a], type=pa.binary()), "df": pa.array([x[1] for x in b], type=pa.binary())})
+        return pa.table({"node": pa.array([x[0] for x in a], type=pa.int64()), "tokens": pa.array([x[1] for x in a], type=pa.binary()), "df": pa.array([x[1] for x in b], type=pa.binary())})
 
-    known = exchange(chosen.mapInArrow(stream(whole), PACKET), count, gather, "owner long, tokens binary, df binary")
+    known = exchange(placed.mapInArrow(stream(known_to_others), PACKET), count, gather, "node long, tokens binary, df binary")
 
-    def ordered(batch: pa.RecordBatch):
-        out = {"node": [], "n": [], "known": [], "tokens": [], "keys": [], "central": [], "odd": []}
-        for node, n, tokens, df in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+    def index(batch: pa.RecordBatch):
+        keys, rows, details = [], [], []
+        for node, n, c, odd, tokens, df in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
             tokens, df = np.frombuffer(tokens, dtype=U), np.frombuffer(df, dtype=np.int64)
-            tokens, at = np.unique(tokens, return_index=True)
-            df = df[at]
-            least = _share(n, percent)
-            if len(tokens) < least:
+            if len(tokens) < _share(n, percent):
                 continue
-            order = np.lexsort((tokens, df))[: max(0, n - least + 2 - (n - len(tokens)))]
-            rare, often = tokens[order][df[order] <= RARE], tokens[order][df[order] > RARE]
-            i, j = np.triu_indices(len(often), 1)
-            keys = np.concatenate([mix(rare + U(1)), mix(often[i] * U(0x2545F4914F6CDD1D) + mix(often[j] + U(2)))])
-            out["node"].append(node)
-            out["n"].append(n)
-            out["known"].append(len(tokens))
-            # the parity of the tokens in each of 512 places: sets differ in at least as many tokens as places
-            odd = np.bincount((mix(tokens + U(3)) % U(64 * _ODD)).astype(np.int64), minlength=64 * _ODD) & 1
-            out["odd"].append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
-            out["tokens"].append(tokens.tobytes())
-            out["keys"].append(keys.view(np.int64))
-            out["central"].append(int(1000 * df.sum() // n))
-        types = {"node": pa.int64(), "n": pa.int64(), "known": pa.int64(), "tokens": pa.binary(), "keys": pa.list_(pa.int64()), "central": pa.int64(), "odd": pa.list_(pa.int64())}
-        yield pa.RecordBatch.from_arrays([pa.array(out[k], type=t) for k, t in types.items()], names=list(types))
-
-    index = known.join(able.select(F.col("doc_id").alias("owner"), "n"), "owner").select("owner", "n", "tokens", "df")
-    index = cut(index.mapInArrow(stream(ordered), "node long, n long, known long, tokens binary, keys array<long>, central long, odd array<long>"))
-    keys = index.select(F.explode("keys").alias("key"), "node")
-    details = ["n", "known", *[f"odd{i}" for i in range(_ODD)]]
-    nodes = index.select("node", "central", "n", "known", *[F.col("odd")[i].alias(f"odd{i}") for i in range(_ODD)])
-
-    def compatible(x: str, y: str):
-        """Sizes, tokens known to others, and the odd places that differ leave room for the similarity."""
-        n = F.col(f"{x}n") + F.col(f"{y}n")
-        most, apart = F.least(f"{x}known", f"{y}known"), F.lit(0)
-        for i in range(_ODD):
-            apart = apart + F.bit_count(F.col(f"{x}odd{i}").bitwiseXOR(F.col(f"{y}odd{i}")))
-        return (100 * F.least(f"{x}n", f"{y}n") >= percent * F.greatest(f"{x}n", f"{y}n")) & ((100 + percent) * most >= percent * n) & ((100 + percent) * apart <= (100 - percent) * n)
-
-    def overlap(batch: pa.RecordBatch):
-        keep = []
-        for i, (n, m, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True)):
-            both = len(np.intersect1d(np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U), assume_unique=True))
-            if 100 * both >= percent * (n + m - both):
-                keep.append(i)
-        yield batch.take(pa.array(keep, type=pa.int64())).select(["a", "b"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        right = pairs.join(index.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y")), "b")
-        both = right.join(index.select(F.col("node").alias("a"), "n", F.col("tokens").alias("x")), "a")
-        return both.select("a", "b", "n", "m", "x", "y").mapInArrow(stream(overlap), "a long, b long")
-
-    labels = link(keys, nodes, compatible, verify, details)
+            keys.append(index_keys(n, tokens, df, percent))
+            rows.append(np.full(len(keys[-1]), len(details)))
+            details.append([node, c, n, len(tokens), *odd])
+        key, row = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (keys, rows))
+        order = np.argsort(key, kind="stable")
+        key, row = key[order].astype(U), row[order]
+        table = np.array(details, dtype=np.int64).reshape(-1, 4 + _ODD)
+        bucket = (((key >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
+        edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
+        parts = [(int(bucket[x]), key[x:y].tobytes(), np.ascontiguousarray(table[row[x:y]]).tobytes()) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts], type=pa.int32()), *(pa.array([x[i] for x in parts], type=pa.binary()) for i in (1, 2))], names=["bucket", "a", "b"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        key, rest = unpack(table["a"]), unpack(table["b"], np.int64).reshape(-1, 4 + _ODD)
+        a, b = _unique_pairs(list(meetings(key, rest[:, 0], rest[:, 1], rest[:, 2], rest[:, 3], rest[:, 4:], percent)))
+        return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
+
+    told = sets.select("node", "n", "odd").join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    postings = known.join(told, "node").select("node", "n", "c", "odd", "tokens", "df").mapInArrow(stream(index), "bucket int, a binary, b binary")
+    more = verify(cut(postings.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()))
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
     named = members.join(classes.select("owner", "class_id"), "owner", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
     named = named.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
+def _shared(values: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Which of the pairs, ordered by both, have a value that several owners hold."""
+    if not len(values):
+        return np.zeros(0, dtype=bool)
+    new = np.r_[True, values[1:] != values[:-1]]
+    start = np.flatnonzero(new)
+    return (owners[start] != owners[np.append(start[1:], len(values)) - 1])[np.cumsum(new) - 1]
+
+
 def keep_one(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
     """The documents (all their columns) with the smallest id of their group."""
     kept = near_duplicates(docs, percent, shingle).where("doc_id = component_id").select("doc_id").distinct()

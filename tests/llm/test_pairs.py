@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,29 @@ def test_hash_of_kept_words(docs):
     text = " ".join(f"w{i}" for i in range(60))
     rows = substring_dedup.remove_repeats(docs([text, text + " end"])).select("doc_id", F.sha2("kept", 256).alias("s")).collect()
     assert {r.doc_id: r.s for r in rows} == {0: hashlib.sha256(text.encode()).hexdigest(), 1: hashlib.sha256(b"end").hexdigest()}
+
+
+def test_meetings_of_keys_are_those_of_plain_pairs():
+    """Every linked pair of classes of different components meets, whatever the sizes, the bits of the sketches and the number of pairs at once."""
+    rng = random.Random(5)
+    base = np.array([rng.getrandbits(64) for _ in range(400)], dtype=np.uint64)
+    sets, comps = [], []
+    for i in range(60):
+        tokens = np.array(sorted({*base[: rng.randrange(120, 400)].tolist(), *(rng.getrandbits(64) for _ in range(rng.randrange(40)))}), dtype=np.uint64)
+        sets.append(tokens)
+        comps.append(i % 23)
+    every, df = np.unique(np.concatenate(sets), return_counts=True)
+    known = [np.array([t for t in s if df[np.searchsorted(every, t)] > 1], dtype=np.uint64) for s in sets]
+    keys = [jaccard_join.index_keys(len(s), k, df[np.searchsorted(every, k)], 75) for s, k in zip(sets, known, strict=True)]
+    row = np.repeat(np.arange(60), [len(k) for k in keys])
+    n, m, odd = (np.array(x) for x in ([len(s) for s in sets], [len(k) for k in known], [jaccard_join._odd(s) for s in sets]))
+    found = set()
+    for a, b in jaccard_join.meetings(np.concatenate(keys), row, np.array(comps)[row], n[row], m[row], odd[row], 75):
+        found |= set(zip(a.tolist(), b.tolist(), strict=True))
+    links = set()
+    for i in range(60):
+        for j in range(i + 1, 60):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if comps[i] != comps[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                links.add((i, j))
+    assert len(links) > 100 and links <= found
