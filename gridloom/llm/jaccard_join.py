@@ -83,19 +83,19 @@ def combined(band: int, percent: int) -> int:
     return min(_share(least, percent), max(2, 1 + least // 10))
 
 
-def index_keys(n: int, tokens: np.ndarray, df: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a class of n tokens, of which ``tokens`` are known to other components, ``df`` of them."""
+def index_keys(n: int, tokens: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a class of n tokens, of which ``tokens`` are known to other components, ``df`` of them; and which are for larger partners alone:
+    combinations of the next band, where two classes of one band needn't meet again."""
     order, band, spare = np.lexsort((tokens, df)), band_of(n, percent), n - _share(n, percent) - (n - len(tokens))
     tokens, often = tokens[order], df[order] > RARE
-    out = []
+    singles, pairs = [], [np.zeros(0, dtype=U)] * 2
     for b in (band, band + 1):
         k = combined(b, percent)
         prefix = slice(0, max(0, spare + k))
-        out.append(mix(tokens[prefix][~often[prefix]] + U(1)))
-        common = tokens[prefix][often[prefix]]
+        singles.append(tokens[prefix][~often[prefix] | (k == 1)])
         if k == 1:
-            out.append(mix(common + U(1)))
             continue
+        common = tokens[prefix][often[prefix]]
         place = (mix(common + U(5)) % U(k - 1)).astype(np.int64)
         common = common[np.argsort(place, kind="stable")]
         size = np.bincount(place, minlength=k - 1)
@@ -103,11 +103,12 @@ def index_keys(n: int, tokens: np.ndarray, df: np.ndarray, percent: int) -> np.n
         i = np.repeat(np.arange(len(common)), behind)
         j = ragged(np.arange(len(common)) + 1, behind)
         x, y = np.minimum(common[i], common[j]), np.maximum(common[i], common[j])
-        out.append(mix(x * U(0x2545F4914F6CDD1D) + mix(y + U(2 + 0x9E3779B97F4A7C15 * b & 0xFFFFFFFFFFFFFFFF))))
-    return np.unique(np.concatenate(out))
+        pairs[b - band] = mix(x * U(0x2545F4914F6CDD1D) + mix(y + U(2 + 0x9E3779B97F4A7C15 * b & 0xFFFFFFFFFFFFFFFF)))
+    singles = mix(np.unique(np.concatenate(singles)) + U(1))
+    return np.concatenate([singles, *pairs]), np.repeat([False, False, True], [len(singles), *map(len, pairs)])
 
 
-def meetings(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, known: np.ndarray, odd: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def meetings(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray, known: np.ndarray, later: np.ndarray, odd: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of nodes (smaller first) that share a key, are of different components, and that sizes, known tokens and odd sketches let link."""
     order = np.lexsort((n, key))
     key = key[order]
@@ -120,7 +121,7 @@ def meetings(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray,
         mixed = (np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)) & (np.maximum.reduceat((reach >= n[order]).astype(np.int8), first) > 0)
         keep = mixed[run]
         order, run, reach = order[keep], run[keep], reach[keep]
-    size, c = n[order], comp[order]
+    size, c, later = n[order], comp[order], later[order]
     # the smaller one of a pair reaches the larger one, both ways
     place = run * (1 << 32)
     upto = np.searchsorted(place + size, place + np.minimum(np.minimum(reach, size * 100 // percent), (1 << 32) - 1), side="right")
@@ -131,7 +132,7 @@ def meetings(key: np.ndarray, node: np.ndarray, comp: np.ndarray, n: np.ndarray,
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, side="right")))
         i = np.repeat(np.arange(at, to), partners[at:to])
         j = ragged(np.arange(at, to) + 1, partners[at:to])
-        good = (c[i] != c[j]) & (size[i] <= reach[j])
+        good = (c[i] != c[j]) & (size[i] <= reach[j]) & ~(later[i] & later[j])
         i, j = i[good], j[good]
         apart = np.bitwise_count((odd[order[i]] ^ odd[order[j]]).view(U)).sum(axis=1, dtype=np.int64)
         good = (100 + percent) * apart <= (100 - percent) * (size[i] + size[j])
@@ -211,9 +212,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, *, doc
         yield batch.take(pa.array(keep, type=pa.int64())).select(["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        right = pairs.join(sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y")), "b")
-        both = right.join(sets.select(F.col("node").alias("a"), "n", F.col("tokens").alias("x")), "a")
-        return cut(both.select("a", "b", "n", "m", "x", "y").mapInArrow(stream(overlap), "a long, b long"))
+        # only the sets that a pair needs are shuffled
+        pairs = beside(cut(pairs, tidy=False))
+        left = sets.select(F.col("node").alias("a"), "n", F.col("tokens").alias("x")).join(pairs, "a")
+        right = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y")).join(pairs, "b")
+        return cut(left.join(right, ["a", "b"]).select("a", "b", "n", "m", "x", "y").mapInArrow(stream(overlap), "a long, b long"))
 
     # the most central class of each smallest hash against the others that have it
     met = sets.select(F.explode("least").alias("key"), "node", "n", "central", "odd")
@@ -223,7 +226,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, *, doc
     pairs = met.join(middle, "key").where((F.col("node") != other) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("p.n"))))
     edges = verify(pairs.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct())
     labels = components(edges)
-    placed = sets.join(labels.withColumnRenamed("component", "c"), "node", "left").select("node", "tokens", F.coalesce("c", "node").alias("c"))
+    named = beside(labels.withColumnRenamed("component", "c"))
+    placed = sets.join(named, "node", "left").select("node", "tokens", F.coalesce("c", "node").alias("c"))
 
     def known_to_others(batch: pa.RecordBatch):
         """Tokens with their class and component, one of each that many classes of the slice have."""
@@ -239,12 +243,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, *, doc
             many = (np.bincount(run) >= LOCAL)[run] if len(v) else new
             told = [(k, a, b, np.full(len(a) // 8, _FREQUENT, dtype=np.int64).tobytes()) for k, a, b in by_home(v[many], nodes[at[many]], buckets)]
             out = ~many | new
-            # a component's number is its class's, or follows; the sign of a flagged one is of no use
-            comp = {k: x for k, _, x in packets(v[out], np.where(many, -1, comps[at])[out], buckets)}
-            yield packet_rows([(k, a, b, comp[k]) for k, a, b in packets(v[out], nodes[at[out]], buckets)], told)
+            sent, own = [], comps[at] == nodes[at]  # then the owner says it all
+            for alone in (True, False):
+                use = out & ((own & ~many) == alone)
+                comp = {k: x for k, _, x in packets(v[use], np.where(many, -1, comps[at])[use], buckets)}
+                sent += [(k, a, b, None if alone else comp[k]) for k, a, b in packets(v[use], nodes[at[use]], buckets)]
+            yield packet_rows(sent, told)
 
     def count(table: pa.Table) -> list[tuple]:
-        values, owners, comps = unpack(table["a"]), unpack(table["b"], np.int64), unpack(table["c"], np.int64)
+        values, owners = unpack(table["a"]), unpack(table["b"], np.int64)
+        comps = np.frombuffer(b"".join(b if c is None else c for b, c in zip(table["b"].to_pylist(), table["c"].to_pylist(), strict=True)), dtype=np.int64)
         order = np.lexsort((comps, values))
         values, owners, comps = values[order], owners[order], comps[order]
         new = np.r_[True, values[1:] != values[:-1]] if len(values) else np.zeros(0, dtype=bool)
@@ -267,26 +275,34 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, *, doc
             tokens, df = np.frombuffer(tokens, dtype=U), np.frombuffer(df, dtype=np.int64)
             if len(tokens) < _share(n, percent):
                 continue
-            keys.append(index_keys(n, tokens, df, percent))
-            rows.append(np.full(len(keys[-1]), len(details)))
-            details.append([node, c, n, len(tokens), *odd])
+            key, later = index_keys(n, tokens, df, percent)
+            keys.append(key)
+            rows.append(len(details) + later)
+            details += [[node, c, n, len(tokens), x, *odd] for x in (0, 1)]
         key, row = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (keys, rows))
         order = np.argsort(key, kind="stable")
         key, row = key[order].astype(U), row[order]
-        table = np.array(details, dtype=np.int64).reshape(-1, 4 + _ODD)
+        table = np.array(details, dtype=np.int64).reshape(-1, 5 + _ODD)
         bucket = (((key >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
         edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
         parts = [(int(bucket[x]), key[x:y].tobytes(), np.ascontiguousarray(table[row[x:y]]).tobytes()) for x, y in zip(edges[:-1], edges[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in parts], type=pa.int32()), *(pa.array([x[i] for x in parts], type=pa.binary()) for i in (1, 2))], names=["bucket", "a", "b"])
 
     def meet(table: pa.Table) -> pa.Table:
-        key, rest = unpack(table["a"]), unpack(table["b"], np.int64).reshape(-1, 4 + _ODD)
-        a, b = _unique_pairs(list(meetings(key, rest[:, 0], rest[:, 1], rest[:, 2], rest[:, 3], rest[:, 4:], percent)))
-        return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
+        key, rest = unpack(table["a"]), unpack(table["b"], np.int64).reshape(-1, 5 + _ODD)
+        a, b = _unique_pairs(list(meetings(key, *(rest[:, i] for i in range(4)), rest[:, 4] > 0, rest[:, 5:], percent)))
+        parts = by_home(b.view(U), a, buckets)
+        return pa.table({"bucket": pa.array([x[0] for x in parts], type=pa.int32()), **{k: pa.array([x[i] for x in parts], type=pa.binary()) for k, i in (("a", 2), ("b", 1))}})
+
+    def distinct_pairs(table: pa.Table) -> pa.Table:
+        """A pair meets in many keys: one of each stays."""
+        a, b = _unique_pairs([(unpack(table["a"], np.int64), unpack(table["b"], np.int64))])
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    told = sets.select("node", "n", "odd").join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    told = sets.select("node", "n", "odd").join(named, "node", "left").withColumn("c", F.coalesce("c", "node"))
     postings = known.join(told, "node").select("node", "n", "c", "odd", "tokens", "df").mapInArrow(stream(index), "bucket int, a binary, b binary")
-    more = verify(cut(postings.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()))
+    met = postings.groupBy("bucket").applyInArrow(meet, "bucket int, a binary, b binary").groupBy("bucket").applyInArrow(distinct_pairs, "a long, b long")
+    more = verify(met)
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
     named = members.join(classes.select("owner", "class_id"), "owner", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))

@@ -192,10 +192,10 @@ def test_meetings_of_keys_are_those_of_plain_pairs():
     every, df = np.unique(np.concatenate(sets), return_counts=True)
     known = [np.array([t for t in s if df[np.searchsorted(every, t)] > 1], dtype=np.uint64) for s in sets]
     keys = [jaccard_join.index_keys(len(s), k, df[np.searchsorted(every, k)], 75) for s, k in zip(sets, known, strict=True)]
-    row = np.repeat(np.arange(60), [len(k) for k in keys])
+    row, later = np.repeat(np.arange(60), [len(k) for k, _ in keys]), np.concatenate([x for _, x in keys])
     n, m, odd = (np.array(x) for x in ([len(s) for s in sets], [len(k) for k in known], [jaccard_join._odd(s) for s in sets]))
     found = set()
-    for a, b in jaccard_join.meetings(np.concatenate(keys), row, np.array(comps)[row], n[row], m[row], odd[row], 75):
+    for a, b in jaccard_join.meetings(np.concatenate([k for k, _ in keys]), row, np.array(comps)[row], n[row], m[row], later, odd[row], 75):
         found |= set(zip(a.tolist(), b.tolist(), strict=True))
     links = set()
     for i in range(60):
