@@ -6,10 +6,11 @@ of those only the first part may be shorter than a sequence.
 
 The plan works on the number of pieces of each length, at most ``capacity``
 counts however large the corpus is.  From the longest length on, a hash index
-of single, pair and triple sums gives combinations that fill the gap exactly;
-they are consumed as often as the counts allow.  What has no exact complement
-is packed best fit (the longest piece that fits).  Spark then numbers the
-pieces of each length and looks their places up in the plan.
+of single, pair and triple sums (``Sums``) gives combinations that fill the gap
+exactly; they are consumed as often as the counts allow.  What has no exact
+complement is packed best fit (the longest piece that fits).  Every task numbers
+its pieces of each length; Spark adds what the tasks before it have (one row a
+task and length) and looks the places up in the plan.
 
 Defined results: a null or empty text is the end id alone; rows with a null id
 are left out; repeated rows are pieces of their own; an empty table gives an
@@ -32,7 +33,7 @@ from .cluster import cut
 from .exchange import stream
 from .wordbatch import U, ragged, rows_of, slices, span_hashes
 
-_PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, slice long, nth long"
+_PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, task long, nth long"
 
 
 class SegmentTokenizer:
@@ -40,12 +41,15 @@ class SegmentTokenizer:
 
     A blank is plain if both neighbours are ASCII and not white space, or letters U+00C0 to U+00FF.  Known segments are kept up to a bound of memory."""
 
-    KEEP = 1_000_000
+    KEEP, TOGETHER = 2_000_000, 200
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # a special token that stands for itself parts segments that are encoded together
+        marks = [(t.content, i) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+        self.mark, self.mark_id = marks[0] if marks else (None, -1)
         safe = np.zeros(256, dtype=bool)
         safe[0x21:0x7F] = True
         self.after = safe.copy()
@@ -59,13 +63,24 @@ class SegmentTokenizer:
     def _learn(self, h: np.ndarray, texts: list[str]) -> None:
         if len(self.known) > self.KEEP:
             self._forget()
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        n = np.array([len(x) for x in found], dtype=np.int64)
+        ids, n = self._encode_all(texts)
         at = len(self.ids) + np.cumsum(n) - n
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(n.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
         place = np.searchsorted(self.known, h)  # both ascend
         self.known, self.at, self.n = np.insert(self.known, place, h), np.insert(self.at, place, at), np.insert(self.n, place, n)
 
+    def _encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has)."""
+        if self.mark is None or any(self.mark in t for t in texts):
+            found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            n = np.array([len(x) for x in found], dtype=np.int64)
+            return np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(n.sum())), n
+        groups = [self.mark.join(texts[i : i + self.TOGETHER]) + self.mark for i in range(0, len(texts), self.TOGETHER)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=sum(map(len, found)))
+        ends = np.flatnonzero(ids == self.mark_id)
+        return ids[ids != self.mark_id], np.diff(ends, prepend=-1) - 1
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows, row pointers) of the UTF-8 rows ``data[offsets[i]:offsets[i+1]]``."""
         n = len(data)
@@ -100,6 +115,83 @@ class SegmentTokenizer:
         return self.ids[ragged(self.at[seg], n_ids)] if len(seg) else np.zeros(0, dtype=np.uint32), total[row_start]
 
 
+_coders: dict[str, SegmentTokenizer] = {}
+
+
+def coder_of(path: str) -> SegmentTokenizer:
+    """One tokenizer a worker process: the tasks that it runs share the known segments."""
+    if path not in _coders:
+        _coders[path] = SegmentTokenizer(path)
+    return _coders[path]
+
+
+class Sums:
+    """Hash index from a sum to the single length, the pairs and the triples of lengths that make it.
+
+    A pair is kept by its larger member, a triple by its largest one and the rest's sum, which is looked up among the pairs.  Counts only fall, so
+    entries whose lengths are used up are dropped for good.  The pairs of all sums are at most capacity ** 2 / 4; a sum's triples are indexed when it is
+    first asked for."""
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        lengths = np.flatnonzero(left)
+        self.pairs: dict[int, np.ndarray] = {}
+        self.triples: dict[int, np.ndarray] = {}
+        larger = np.concatenate([np.full(np.searchsorted(lengths, min(x, len(left) - 1 - x), side="right"), x) for x in lengths] or [lengths])
+        smaller = np.concatenate([lengths[: np.searchsorted(lengths, min(x, len(left) - 1 - x), side="right")] for x in lengths] or [lengths])
+        order = np.argsort(larger + smaller, kind="stable")
+        sums = (larger + smaller)[order]
+        edges = [*np.flatnonzero(np.diff(sums, prepend=-1)).tolist(), len(sums)]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            self.pairs[int(sums[x])] = larger[order[x:y]]
+
+    def times(self, shape: tuple[int, ...]) -> int:
+        """How often the lengths are there together."""
+        need: dict[int, int] = defaultdict(int)
+        for x in shape:
+            need[x] += 1
+        return min(int(self.left[x]) // k for x, k in need.items())
+
+    def single(self, total: int, most: int) -> tuple[int, ...] | None:
+        return (total,) if 0 < total <= most and self.left[total] else None
+
+    def pair(self, total: int, most: int) -> tuple[int, ...] | None:
+        """Of the pairs whose members are ``most`` at most, the one that is there most often."""
+        a = self.pairs.get(total)
+        if a is None:
+            return None
+        able = np.where(2 * a == total, self.left[a] // 2, np.minimum(self.left[a], self.left[total - a]))
+        if not able.all():
+            a, able = a[able > 0], able[able > 0]
+            self.pairs[total] = a
+        i = int(np.argmax(np.where(a <= most, able, 0))) if len(a) else 0
+        return (int(a[i]), total - int(a[i])) if len(a) and a[i] <= most else None
+
+    def triple(self, total: int, most: int, beside: int) -> tuple[int, ...] | None:
+        """The triple with the largest member of ``most`` at most that is there beside a piece of length ``beside``."""
+        if total not in self.triples:
+            third = np.flatnonzero(self.left[: total - 1]) if total > 2 else np.zeros(0, dtype=np.int64)
+            self.triples[total] = np.array([x for x in third.tolist()[::-1] if total - x in self.pairs], dtype=np.int64)
+        kept = self.triples[total] = self.triples[total][self.left[self.triples[total]] > 0]
+        for x in kept[(kept <= most) & (self.left[kept] > (kept == beside))].tolist():
+            self.left[x] -= 1
+            self.left[beside] -= 1
+            two = self.pair_without(total - x, x)
+            self.left[x] += 1
+            self.left[beside] += 1
+            if two:
+                return (x, *two)
+        return None
+
+    def pair_without(self, total: int, most: int) -> tuple[int, ...] | None:
+        """``pair`` while some lengths are set aside: nothing is dropped."""
+        kept = self.pairs.get(total)
+        found = self.pair(total, most)
+        if kept is not None:
+            self.pairs[total] = kept
+        return found
+
+
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence's pieces, how many sequences) for the number of pieces of each length."""
     left = np.zeros(capacity + 1, dtype=np.int64)
@@ -112,41 +204,16 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
             left[x] -= times
         out.append((shape, times))
 
-    def times_of(shape: tuple[int, ...]) -> int:
-        need: dict[int, int] = defaultdict(int)
-        for x in shape:
-            need[x] += 1
-        return min(int(left[x]) // k for x, k in need.items())
-
-    def pair(gap: int, most: int) -> tuple[int, int] | None:
-        """The available pair that sums to gap exactly; of several, the one with the most sequences."""
-        a = np.arange((gap + 1) // 2, min(gap, most + 1))
-        if not len(a):
-            return None
-        able = np.where(2 * a == gap, left[a] // 2, np.minimum(left[a], left[gap - a]))
-        i = int(np.argmax(able))
-        return (int(a[i]), gap - int(a[i])) if able[i] > 0 else None
-
+    index = Sums(left)
     for longest in range(capacity, 0, -1):
         while left[longest]:
             gap = capacity - longest
-            shape = None
-            if gap == 0:
-                shape = (longest,)
-            elif gap <= longest and left[gap] and times_of((longest, gap)):
-                shape = (longest, gap)
-            elif (two := pair(gap, longest)) and times_of((longest, *two)):
-                shape = (longest, *two)
-            else:
-                for third in np.flatnonzero(left[: min(gap, longest + 1)])[::-1]:
-                    left[third] -= 1
-                    left[longest] -= 1
-                    two = pair(gap - int(third), int(third)) if third else None
-                    left[third] += 1
-                    left[longest] += 1
-                    if two and times_of((longest, int(third), *two)):
-                        shape = (longest, int(third), *two)
-                        break
+            shape = (longest,) if gap == 0 else None
+            for found in (index.single, index.pair):
+                if shape is None and (rest := found(gap, longest)) and index.times((longest, *rest)):
+                    shape = (longest, *rest)
+            if shape is None and (rest := index.triple(gap, longest, longest)):
+                shape = (longest, *rest)
             if shape is None:  # best fit: ever the longest piece that fits
                 parts, room = [longest], gap
                 left[longest] -= 1
@@ -158,19 +225,22 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
                 for x in parts:
                     left[x] += 1
                 shape = tuple(parts)
-            use(shape, times_of(shape))
+            use(shape, index.times(shape))
     return out
 
 
 def pack(docs: DataFrame, tokenizer: str | Callable[[], str], capacity: int = 2048, end_id: int = 0, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. tokenizer: a file of the tokenizers library, or a function that finds it on an executor."""
-    source = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("at"))
+    source = docs.where(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def pieces(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = SegmentTokenizer(tokenizer() if callable(tokenizer) else tokenizer)
+        from pyspark import TaskContext
+
+        coder = coder_of(tokenizer() if callable(tokenizer) else tokenizer)
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
 
         def run(batch: pa.RecordBatch):
             for lo, hi, data, offsets in slices(batch.column(1)):
@@ -192,20 +262,21 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], capacity: int = 20
                 new = np.r_[True, np.diff(length[order]) != 0] if len(order) else np.zeros(0, dtype=bool)
                 nth = np.empty(len(order), dtype=np.int64)
                 nth[order] = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(order) else 0
-                slice_id = int(rows_of(batch, "at", lo, lo + 1)[0])
+                nth += seen[length]
+                seen[:] += np.bincount(length, minlength=capacity + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows_of(batch, "doc_id", lo, hi)[row]), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(np.array(crc, dtype=np.int64)), pa.array(np.full(len(row), slice_id)), pa.array(nth)],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32", "slice", "nth"],
+                    [pa.array(rows_of(batch, "doc_id", lo, hi)[row]), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length.astype(np.int32)), pa.array(np.array(crc, dtype=np.int64)), pa.array(np.full(len(row), task)), pa.array(nth)],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"],
                 )
 
         for batch in batches:
             yield from run(batch)
 
     table = cut(source.mapInArrow(pieces, _PIECES))
-    counted = cut(table.groupBy("slice", "length").agg(F.count("*").alias("m")))
+    counted = cut(table.groupBy("task", "length").agg(F.count("*").alias("m")))
     counts = {r[0]: r[1] for r in counted.groupBy("length").agg(F.sum("m")).collect()}  # capacity rows at most
-    before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counted.select("slice", "length", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counted.select("task", "length", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
     used, sequence, places = defaultdict(int), 0, defaultdict(list)
     for shape, times in plan(counts, capacity):
         offset = 0
@@ -229,7 +300,7 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], capacity: int = 20
             seq[i], off[i] = base + (r - first) // each, offsets[(r - first) % each]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(3).cast(pa.int64()), batch.column(4), pa.array(seq), pa.array(off)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    numbered = table.join(bases, ["slice", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("number"))
+    numbered = table.join(bases, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("number"))
     return numbered.mapInArrow(stream(placed), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
