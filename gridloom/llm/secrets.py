@@ -8,7 +8,7 @@ of the whole file.  It is trained by gradient ascent on the likelihood, with
 the patterns' matches in a bounded sample as labels (``TRAIN_DOCS`` texts of
 at most ``TRAIN_CHARS`` characters), and decoded by Viterbi.  Tokens that are
 outside whatever their neighbours are cut the chain, which leaves Viterbi's
-result as it is; only the short stretches between them are searched.
+result as it is; only the stretches between them are searched, all at once.
 
 Defined results: a null text is empty and has no secrets; rows with a null id
 are left out; repeated rows are scanned alike; of a pattern's matches those
@@ -143,6 +143,16 @@ class Field:
             np.add.at(change, (labels[:-1], labels[1:]), 1)
             self.steps += rate * 0.1 * np.where(np.isfinite(self.steps), change, 0)
 
+    def margins(self) -> tuple[np.ndarray, np.ndarray]:
+        """What begin and inside can gain at most over outside by the steps around a token: if the next isn't inside, and if it is and becomes a begin instead."""
+        s = self.steps
+        plain, followed = np.full(3, -np.inf), np.full(3, -np.inf)
+        for y in (_BEGIN, _IN):
+            into = max([0.0 if y == _BEGIN else -np.inf, *(s[p, y] - s[p, _OUT] for p in range(3))])  # 0: the first of its chain
+            plain[y] = into + max(0.0, *(s[y, x] - s[_OUT, x] for x in (_OUT, _BEGIN)))
+            followed[y] = into + s[y, _IN] - s[_OUT, _BEGIN] + max(0.0, *(s[_IN, x] - s[_BEGIN, x] for x in range(3)))
+        return plain, followed
+
     def decode(self, e: np.ndarray, ptr: np.ndarray) -> np.ndarray:
         """Viterbi's labels of the chains e[ptr[i]:ptr[i+1]].
 
@@ -150,10 +160,12 @@ class Field:
         labels = np.zeros(len(e), dtype=np.int8)
         if not len(e):
             return labels
-        finite = self.steps[np.isfinite(self.steps)]
+        plain, followed = self.margins()
         after = np.zeros(len(e))
-        after[:-1] = np.maximum(0, e[1:, _IN] - e[1:, _BEGIN])
-        sure = e[:, _OUT] - np.maximum(e[:, _BEGIN], e[:, _IN]) > 3 * (finite.max() - finite.min()) + after
+        after[:-1] = e[1:, _IN] - e[1:, _BEGIN]
+        sure = np.ones(len(e), dtype=bool)
+        for y in (_BEGIN, _IN):
+            sure &= e[:, _OUT] - e[:, y] > np.maximum(plain[y], followed[y] + after) + 1e-9
         doubt = np.flatnonzero(~sure)
         if not len(doubt):
             return labels
@@ -161,30 +173,27 @@ class Field:
         new = np.r_[True, (np.diff(doubt) > 1) | (row[1:] != row[:-1])]
         edges = np.append(np.flatnonzero(new), len(doubt))
         lo, hi = doubt[edges[:-1]], doubt[edges[1:] - 1] + 1
-        first, last = np.isin(lo, ptr), np.isin(hi, ptr)
-        size = hi - lo
-        for n in np.unique(size):  # stretches of one length at once
-            i = np.flatnonzero(size == n)
-            at = lo[i][:, None] + np.arange(n)
-            labels[at] = self._viterbi(e[at], first[i], last[i])
+        order = np.argsort(lo - hi, kind="stable")
+        self._viterbi(e, lo[order], (hi - lo)[order], np.isin(lo, ptr)[order], np.isin(hi, ptr)[order], labels)
         return labels
 
-    def _viterbi(self, e: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The best labels of stretches (one a row) of one length; where one doesn't begin or end its chain, the token beside it is outside."""
-        start = np.array([0, 0, -np.inf])
-        best = e[:, 0] + np.where(first[:, None], start, self.steps[_OUT])
-        back = []
-        for t in range(1, e.shape[1]):
-            way = best[:, :, None] + self.steps
-            back.append(way.argmax(axis=1))
-            best = way.max(axis=1) + e[:, t]
-        best = best + np.where(last[:, None], 0, self.steps[:, _OUT])
-        out = np.empty(e.shape[:2], dtype=np.int8)
-        out[:, -1] = best.argmax(axis=1)
-        rows = np.arange(len(e))
-        for t in range(e.shape[1] - 2, -1, -1):
-            out[:, t] = back[t][rows, out[:, t + 1]]
-        return out
+    def _viterbi(self, e: np.ndarray, lo: np.ndarray, size: np.ndarray, first: np.ndarray, last: np.ndarray, labels: np.ndarray) -> None:
+        """Sets the best labels of the stretches e[lo:lo+size], the longest first; where one doesn't begin or end its chain, the token beside it is outside."""
+        best = e[lo] + np.where(first[:, None], [0, 0, -np.inf], self.steps[_OUT])
+        back, final = [], np.empty((len(lo), 3))
+        for t in range(1, int(size[0])):  # a step of all stretches that are longer
+            k = int(np.searchsorted(-size, -t))
+            final[k : len(best)] = best[k:]
+            way = best[:k, :, None] + self.steps
+            back.append(way.argmax(axis=1).astype(np.int8))
+            best = way.max(axis=1) + e[lo[:k] + t]
+        final[: len(best)] = best
+        now = (final + np.where(last[:, None], 0, self.steps[:, _OUT])).argmax(axis=1)
+        labels[lo + size - 1] = now
+        for t in range(int(size[0]) - 1, 0, -1):
+            k = len(back[t - 1])
+            now[:k] = back[t - 1][np.arange(k), now[:k]]
+            labels[lo[:k] + t - 1] = now[:k]
 
 
 def _secret_parts(text: str) -> list[tuple[int, int]]:

@@ -1,5 +1,6 @@
 """Classifier, secrets, languages, neighbours and sharding: held-out accuracy, exact parts by brute force, awkward rows."""
 
+import itertools
 import math
 import random
 import re
@@ -61,6 +62,98 @@ def test_base_spans():
         assert secrets.base_spans(text) == brute_base(text)
 
 
+def plain_viterbi(e, steps):
+    """The best labels of one chain, cell by cell."""
+    if not len(e):
+        return []
+    best, ways = [e[0][0], e[0][1], -math.inf], []
+    for t in range(1, len(e)):
+        way = [max(range(3), key=lambda p: best[p] + steps[p][y]) for y in range(3)]
+        best = [best[way[y]] + steps[way[y]][y] + e[t][y] for y in range(3)]
+        ways.append(way)
+    labels = [max(range(3), key=lambda y: best[y])]
+    for way in reversed(ways):
+        labels.append(way[labels[-1]])
+    return labels[::-1]
+
+
+def some_field(seed):
+    rng, field = np.random.default_rng(seed), secrets.Field()
+    field.tables = [rng.normal(0, 1, (4, 3)) for _ in range(2)]
+    field.steps = np.where(np.isfinite(field.steps), rng.normal(0, 1, (3, 3)), -np.inf)
+    return rng, field
+
+
+def paths(n):
+    """All label sequences of a chain: inside follows begin or inside."""
+    return [p for p in itertools.product(range(3), repeat=n) if all(y != 2 or (i and p[i - 1]) for i, y in enumerate(p))]
+
+
+def weight(path, e, steps):
+    return sum(e[i][y] for i, y in enumerate(path)) + sum(steps[a][b] for a, b in itertools.pairwise(path))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_decoding_against_all_label_sequences(seed):
+    rng, field = some_field(seed)
+    sizes = [0, 1, 2, 3, 5, 6, 0, 7, 4, 1, *rng.integers(1, 7, 60).tolist()]
+    ptr = np.cumsum([0, *sizes])
+    e = rng.normal(0, 1.5, (ptr[-1], 3)) + [rng.choice([0, 1.5, 3]), 0, 0]
+    labels = field.decode(e, ptr)
+    for a, b in itertools.pairwise(ptr.tolist()):
+        if a < b:
+            best = max(paths(b - a), key=lambda p: weight(p, e[a:b], field.steps))
+            assert tuple(labels[a:b]) == best
+
+
+def test_long_stretches_of_doubt():
+    rng, field = some_field(3)
+    ptr = np.cumsum([0, 900, 1, 40, 2000])
+    e = rng.normal(0, 1.5, (ptr[-1], 3))
+    labels = field.decode(e, ptr)
+    for a, b in itertools.pairwise(ptr.tolist()):
+        assert plain_viterbi(e[a:b], field.steps) == labels[a:b].tolist()
+
+
+def test_gradient_against_all_label_sequences():
+    rng, field = some_field(11)
+    chain, labels, rate = [np.array([0, 1, 1, 3, 2]), np.array([2, 2, 0, 1, 3])], np.array([0, 1, 2, 0, 1]), 1e-6
+
+    def likelihood():
+        e = field.emissions(chain)
+        return weight(labels, e, field.steps) - np.logaddexp.reduce([weight(p, e, field.steps) for p in paths(5)])
+
+    wanted = []
+    for table in [*field.tables, field.steps]:
+        slope = np.zeros_like(table)
+        for at in zip(*np.nonzero(np.isfinite(table)), strict=True):
+            kept = table[at]
+            table[at] = kept + 1e-5
+            up = likelihood()
+            table[at] = kept - 1e-5
+            slope[at] = (up - likelihood()) / 2e-5
+            table[at] = kept
+        wanted.append(slope)
+    before = [t.copy() for t in [*field.tables, field.steps]]
+    field.learn(chain, labels, rate)
+    for k, (old, new, slope) in enumerate(zip(before, [*field.tables, field.steps], wanted, strict=True)):
+        if k < len(field.tables):  # rows of the chain shrink a little
+            old = np.where(np.isin(np.arange(len(old)), chain[k])[:, None], old * (1 - rate * 1e-3), old)
+            step = rate
+        else:
+            step = rate * 0.1
+        fine = np.isfinite(old)
+        assert np.allclose((new - old)[fine] / step, slope[fine], atol=1e-4)
+
+
+def test_secrets_of_awkward_tables(docs):
+    field = secrets.Field()
+    frame = docs(["password=abcdef1", "password=abcdef1", "token: zzzzzzz", None, "x " * 1_700_000 + "AKIA" + "A" * 20], [4, 4, None, 7, 8]).withColumn("spans", F.lit(1)).withColumn("kind", F.lit("x"))
+    found = sorted((r.doc_id, [(s.kind, s.start, s.end) for s in r.spans if s.kind != "crf"]) for r in secrets.scan(frame, field).collect())
+    assert found == [(4, [("assign", 0, 16)]), (4, [("assign", 0, 16)]), (7, []), (8, [("access", 3_400_000, 3_400_024)])]
+    assert secrets.scan(docs([]), secrets.fit(docs([]))).collect() == []
+
+
 def test_scan_and_viterbi(docs):
     rng = random.Random(3)
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(20))
@@ -76,7 +169,7 @@ def test_scan_and_viterbi(docs):
         labels = field.decode(e, ptr)
         for r in range(hi - lo):
             a, b = ptr[r], ptr[r + 1]
-            assert a == b or field._viterbi(e[None, a:b], np.array([True]), np.array([True]))[0].tolist() == labels[a:b].tolist()
+            assert plain_viterbi(e[a:b], field.steps) == labels[a:b].tolist()
     assert sum(field.decode(field.emissions(tokens.features()), ptr) == 1) >= 55
 
 
