@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -30,10 +31,16 @@ class Engine:
         self.catalog.define(schema, step)
 
     def delete_array(self, name: str) -> None:
+        parts = self.catalog.manifest(name).fragments
         self.catalog.delete(name)
+        for f in parts:
+            self._forget(name, f)
 
     def clear_array(self, name: str) -> None:
+        parts = self.catalog.manifest(name).fragments
         self.catalog.clear(name)
+        for f in parts:
+            self._forget(name, f)
 
     def array_defined(self, name: str) -> bool:
         return self.catalog.defined(name)
@@ -48,16 +55,18 @@ class Engine:
 
     def load(self, name: str, path: str | list[str]) -> None:
         """CSV as the first batch."""
-        self.load_cells(name, read_csv(self.spark, path, self._unloaded(name)))
+        schema = self._unloaded(name)
+        self._append(schema, read_csv(self.spark, path, schema))
 
     def load_cells(self, name: str, cells: DataFrame) -> None:
-        """Any frame with the array's columns as the first batch."""
+        """Any frame with the array's columns as the first batch; a boolean ``_deleted`` marks cells that aren't there.  Types, domain and equal coordinates are seen to as with CSV."""
         schema = self._unloaded(name)
         self._append(schema, self._prepared(cells, schema))
 
     def update(self, name: str, path: str | list[str]) -> None:
         """CSV as a further batch: new coordinates insert, others overwrite, a line of nulls deletes."""
-        self.update_cells(name, read_csv(self.spark, path, self._loaded(name)))
+        schema = self._loaded(name)
+        self._append(schema, read_csv(self.spark, path, schema))
 
     def update_cells(self, name: str, cells: DataFrame, batch: int | None = None) -> None:
         """A frame as a further batch.  A numbered batch that is there already is skipped, so a repeated delivery changes nothing."""
@@ -76,13 +85,15 @@ class Engine:
     # -- data out
 
     def cells(self, name: str) -> DataFrame:
-        """The array's live cells; also a temporary view of the array's name, for SQL."""
+        """The array's live cells."""
         schema = self._loaded(name)
         manifest = self.catalog.manifest(name)
         one = len(manifest.fragments) == 1
-        found = fragments.live_view(self._batches(schema, manifest.fragments), schema, single=one)
-        found.createOrReplaceTempView(name)
-        return found
+        return fragments.live_view(self._batches(schema, manifest.fragments), schema, single=one)
+
+    def as_view(self, name: str, view: str | None = None) -> None:
+        """The live cells as a temporary view for SQL, of the array's name or another one."""
+        self.cells(name).createOrReplaceTempView(view or name)
 
     def export_to_csv(self, name: str, path: str, *, short: bool = False, one_file: bool = False) -> None:
         write_csv(self.cells(name), path, self.schema(name), short=short, one_file=one_file)
@@ -121,6 +132,22 @@ class Engine:
         schema = self.schema(name)
         return tiles.tile_index(tiles.tiled(self.cells(name), schema), schema)
 
+    def tile(self, name: str, tile_id: int) -> DataFrame:
+        """A tile's cells.  A regular tile is a range of coordinates, so only the files that may hold it are read."""
+        schema = self.schema(name)
+        if schema.regular:
+            return self.cells(name).where(select.in_tile(schema, tile_id))
+        return tiles.irregular_tiles(self.cells(name), schema).where(F.col("tile_id") == tile_id).drop("tile_id")
+
+    def tile_by_rank(self, name: str, rank: int) -> DataFrame:
+        """The cells of the tile with so many tiles before it in global order; none if there are fewer."""
+        found = self.tiles(name).select("tile_id").orderBy("tile_id").offset(rank).limit(1).first()
+        return self.tile(name, found["tile_id"]) if found else self.cells(name).limit(0)
+
+    def partitioning(self, name: str) -> dict | None:
+        """How a partitioned load dealt out the cells."""
+        return self.catalog.manifest(self._loaded(name).name).partitioning
+
     def retile(self, name: str, *, capacity: int | None = None, order: str | None = None, extents: Sequence[float] | None = None) -> None:
         """Another capacity, order or tiling, in place.  extents of () make tiles irregular.  A new capacity alone moves no data."""
         old = self._loaded(name)
@@ -131,7 +158,7 @@ class Engine:
             changes["extents"] = tuple(extents) or None
         new = old.clone(name, **changes)
         if new.order == old.order and new.extents == old.extents:
-            self.catalog.replace_schema(new)
+            self.catalog.save(name, schema=new)
             return
         manifest = self.catalog.manifest(name)
         whole = Fragment(0, manifest.next_seq, level=max(f.level for f in manifest.fragments))  # a name that no fragment has
@@ -139,8 +166,7 @@ class Engine:
         self._write(new, fragments.merge(batches, old, purge=True), whole)
         replaced, manifest.fragments = manifest.fragments, [whole]
         manifest.next_seq += 1
-        self.catalog.replace_schema(new)
-        self.catalog.save(name, manifest)
+        self.catalog.save(name, manifest, new)
         self._remove(name, replaced)
 
     def consolidate(self, name: str, last: int | None = None) -> None:
@@ -165,28 +191,48 @@ class Engine:
         return schema
 
     def _prepared(self, cells: DataFrame, schema: ArraySchema) -> DataFrame:
-        if DELETED in cells.columns:
-            return cells
-        typed = cells.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.struct()])
+        marks = [F.col(DELETED).cast("boolean").alias(DELETED)] if DELETED in cells.columns else []
+        typed = cells.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.struct()], *marks)
         return with_deletions(checked(last_of_each(typed, schema), schema), schema)
 
     def _batches(self, schema: ArraySchema, parts: list[Fragment]) -> DataFrame:
         stored = schema.struct(internal=True)
-        return fragments.union([self.spark.read.schema(stored).parquet(self.catalog.fragment_path(schema.name, f)) for f in parts])
-
-    def _write(self, schema: ArraySchema, cells: DataFrame, fragment: Fragment, layout: tuple[str, int] | None = None) -> None:
-        """Range-partitioned and sorted in global order, so that the files' statistics prune ranges of coordinates."""
+        return fragments.union([self._bucketed(schema, f) if f.buckets else self.spark.read.schema(stored).parquet(self.catalog.fragment_path(schema.name, f)) for f in parts])
+
+    def _table(self, name: str, fragment: Fragment) -> str:
+        """The session's name for a bucketed fragment."""
+        return f"gridloom_{hashlib.sha256(self.catalog.fragment_path(name, fragment).encode()).hexdigest()[:16]}"
+
+    def _bucketed(self, schema: ArraySchema, fragment: Fragment) -> DataFrame:
+        """A fragment whose hash buckets Spark knows of, so that joins and views by coordinates need no exchange."""
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.struct(internal=True))
+        dims = ", ".join(f"`{n}`" for n in schema.dim_names)
+        table, path = self._table(schema.name, fragment), self.catalog.fragment_path(schema.name, fragment)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY ({dims}) SORTED BY ({dims}) INTO {fragment.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(table)
+
+    def _write(self, schema: ArraySchema, cells: DataFrame, fragment: Fragment, partitions: int | None = None) -> None:
+        """Range-partitioned and sorted in global order, so that the files' statistics prune ranges of coordinates; or hash buckets, sorted by coordinates."""
+        path, dims = self.catalog.fragment_path(schema.name, fragment), schema.dim_names
+        if fragment.buckets:
+            spread = cells.select(*[f.name for f in schema.struct(internal=True)]).repartition(fragment.buckets, *dims)
+            self._forget(schema.name, fragment)
+            spread.write.bucketBy(fragment.buckets, *dims).sortBy(*dims).format("parquet").option("path", path).mode("overwrite").saveAsTable(self._table(schema.name, fragment))
+            return
         ordered, keys = with_order(cells, schema)
-        how, n = layout or ("ordered", None)
-        by = schema.dim_names if how == "hash" else keys
-        spread = (ordered.repartition(n, *by) if how == "hash" else ordered.repartitionByRange(n, *by)) if n else ordered.repartitionByRange(*by)
-        spread.sortWithinPartitions(*keys).select(*schema.columns, SEQ, DELETED).write.mode("overwrite").parquet(self.catalog.fragment_path(schema.name, fragment))
+        spread = ordered.repartitionByRange(partitions, *keys) if partitions else ordered.repartitionByRange(*keys)
+        spread.sortWithinPartitions(*keys).select(*schema.columns, SEQ, DELETED).write.mode("overwrite").parquet(path)
+
+    def _forget(self, name: str, fragment: Fragment) -> None:
+        if fragment.buckets:  # the table only: its files are elsewhere
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name, fragment)}")
 
     def _append(self, schema: ArraySchema, cells: DataFrame, batch: int | None = None, layout: tuple[str, int] | None = None) -> None:
         manifest = self.catalog.manifest(schema.name)
         seq = manifest.next_seq
-        fragment = Fragment(seq, seq)
-        self._write(schema, cells.withColumn(SEQ, F.lit(seq)), fragment, layout)
+        how, partitions = layout or ("ordered", None)
+        fragment = Fragment(seq, seq, buckets=partitions if how == "hash" else 0)
+        self._write(schema, cells.withColumn(SEQ, F.lit(seq)), fragment, partitions)
         fragment.tombstones = True
         manifest.fragments.append(fragment)
         manifest.next_seq, manifest.last_batch = seq + 1, manifest.last_batch if batch is None else batch
@@ -199,6 +245,7 @@ class Engine:
     def _merge(self, schema: ArraySchema, manifest: Manifest, n: int, result: Fragment) -> None:
         parts = manifest.fragments[-n:]
         result.tombstones = result.lo > 0
+        result.buckets = parts[0].buckets  # the first batch's layout lasts
         self._write(schema, fragments.merge(self._batches(schema, parts), schema, purge=result.lo == 0), result)
         manifest.fragments = [*manifest.fragments[:-n], result]
         self.catalog.save(schema.name, manifest)
@@ -206,6 +253,7 @@ class Engine:
 
     def _remove(self, name: str, parts: list[Fragment]) -> None:
         for f in parts:
+            self._forget(name, f)
             self.catalog.store.delete(name, "fragments", f.name)
 
     def _result(self, found: DataFrame, schema: ArraySchema, result: str | None) -> DataFrame:
@@ -216,8 +264,5 @@ class Engine:
             raise SchemaError(f"array {result} is defined already")
         first = Fragment(0, 0)
         self._write(new, found.withColumn(SEQ, F.lit(0)).withColumn(DELETED, F.lit(False)), first)
-        self.catalog.define(new)
-        manifest = self.catalog.manifest(result)
-        manifest.fragments, manifest.next_seq = [first], 1
-        self.catalog.save(result, manifest)
+        self.catalog.define(new, manifest=Manifest([first], 1))
         return self.cells(result)

@@ -11,9 +11,14 @@ from .curves import hilbert, hilbert_expression
 ID = "_order_id"
 
 
-def tile_coordinates(schema: ArraySchema) -> list[Column]:
+def _at(schema: ArraySchema, cell: str | None) -> list[Column]:
+    """The coordinates: columns, or the fields of a struct column."""
+    return [F.col(f"{cell}.{n}" if cell else n) for n in schema.dim_names]
+
+
+def tile_coordinates(schema: ArraySchema, cell: str | None = None) -> list[Column]:
     """Number of the tile in each dimension, from the domain's lower bound on."""
-    return [F.floor((F.col(d.name) - F.lit(d.lo)) / F.lit(e)).cast("long") for d, e in zip(schema.dims, schema.extents, strict=True)]
+    return [F.floor((c - F.lit(d.lo)) / F.lit(e)).cast("long") for c, d, e in zip(_at(schema, cell), schema.dims, schema.extents, strict=True)]
 
 
 def _strided(coordinates: list[Column], sizes: list[int]) -> Column:
@@ -23,28 +28,28 @@ def _strided(coordinates: list[Column], sizes: list[int]) -> Column:
     return out
 
 
-def tile_id_row_major(schema: ArraySchema) -> Column:
+def tile_id_row_major(schema: ArraySchema, cell: str | None = None) -> Column:
     """Tiles numbered with the first dimension running fastest."""
-    return _strided(tile_coordinates(schema), schema.tiles_per_dim)
+    return _strided(tile_coordinates(schema, cell), schema.tiles_per_dim)
 
 
-def tile_id_column_major(schema: ArraySchema) -> Column:
+def tile_id_column_major(schema: ArraySchema, cell: str | None = None) -> Column:
     """Tiles numbered with the last dimension running fastest."""
-    return _strided(tile_coordinates(schema)[::-1], schema.tiles_per_dim[::-1])
+    return _strided(tile_coordinates(schema, cell)[::-1], schema.tiles_per_dim[::-1])
 
 
-def tile_id_hilbert(schema: ArraySchema, *, in_jvm: bool = False) -> Column:
-    return (hilbert_expression if in_jvm else hilbert)(tile_coordinates(schema), schema.hilbert_bits)
+def tile_id_hilbert(schema: ArraySchema, cell: str | None = None, *, in_jvm: bool = False) -> Column:
+    return (hilbert_expression if in_jvm else hilbert)(tile_coordinates(schema, cell), schema.hilbert_bits)
 
 
-def cell_id_hilbert(schema: ArraySchema, *, in_jvm: bool = False) -> Column:
-    cells = [F.floor(F.col(d.name) - F.lit(d.lo)).cast("long") for d in schema.dims]
+def cell_id_hilbert(schema: ArraySchema, cell: str | None = None, *, in_jvm: bool = False) -> Column:
+    cells = [F.floor(c - F.lit(d.lo)).cast("long") for c, d in zip(_at(schema, cell), schema.dims, strict=True)]
     return (hilbert_expression if in_jvm else hilbert)(cells, schema.hilbert_bits)
 
 
-def tile_id(schema: ArraySchema) -> Column:
+def tile_id(schema: ArraySchema, cell: str | None = None) -> Column:
     """The id by which regular tiles are ordered."""
-    return {"hilbert": tile_id_hilbert, "column-major": tile_id_column_major}.get(schema.order, tile_id_row_major)(schema)
+    return {"hilbert": tile_id_hilbert, "column-major": tile_id_column_major}.get(schema.order, tile_id_row_major)(schema, cell)
 
 
 def with_order(df: DataFrame, schema: ArraySchema) -> tuple[DataFrame, list[Column]]:
@@ -58,9 +63,17 @@ def with_order(df: DataFrame, schema: ArraySchema) -> tuple[DataFrame, list[Colu
 
 
 def precedes(schema: ArraySchema, a: str, b: str) -> Column:
-    """Whether cell (struct column) a comes before b in row- or column-major cell order."""
-    names = schema.dim_names[::-1] if schema.order == "column-major" else schema.dim_names
-    return F.struct(*[F.col(f"{a}.{n}") for n in names]) < F.struct(*[F.col(f"{b}.{n}") for n in names])
+    """Whether cell (struct column) a comes before b in global order: by tile, by place on the curve, or by coordinates."""
+    return F.struct(*_order_of(schema, a)) < F.struct(*_order_of(schema, b))
+
+
+def _order_of(schema: ArraySchema, cell: str) -> list[Column]:
+    dims = _at(schema, cell)
+    if schema.regular:
+        return [tile_id(schema, cell), *dims]
+    if schema.order == "hilbert":
+        return [cell_id_hilbert(schema, cell), *dims]
+    return dims[::-1] if schema.order == "column-major" else dims
 
 
 def succeeds(schema: ArraySchema, a: str, b: str) -> Column:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions
+from ..functions.curves import hilbert_axes
 from ..functions.ids import tile_id, with_order
-from ..schema import ArraySchema, SchemaError
+from ..schema import TYPES, ArraySchema, SchemaError
 
 
 def in_range(schema: ArraySchema, bounds: Sequence[float]) -> Column:
@@ -20,7 +23,30 @@ def in_range(schema: ArraySchema, bounds: Sequence[float]) -> Column:
     for d, lo, hi in zip(schema.dims, bounds[::2], bounds[1::2], strict=True):
         if lo > hi:
             raise SchemaError(f"the range of {d.name} ends before it begins")
-        test &= F.col(d.name).between(F.lit(lo), F.lit(hi))
+        if schema.dim_type in ("int", "int64_t"):  # whole bounds within: a fractional literal would put a cast on the column
+            lo, hi = math.ceil(lo), math.floor(hi)
+        kind = TYPES[schema.dim_type]
+        test &= F.col(d.name).between(F.lit(lo).cast(kind), F.lit(hi).cast(kind)) if lo <= hi else F.lit(False)
+    return test
+
+
+def in_tile(schema: ArraySchema, tile_id: int) -> Column:
+    """Cells of a regular tile, as a range of coordinates."""
+    sizes = schema.tiles_per_dim
+    if schema.order == "hilbert":
+        at = hilbert_axes(np.array([tile_id]), len(sizes), schema.hilbert_bits)[0].tolist()
+    else:
+        at, rest = [], tile_id
+        for n in sizes[::-1] if schema.order == "column-major" else sizes:
+            rest, place = divmod(rest, n)
+            at.append(place)
+        at = at[::-1] if schema.order == "column-major" else at
+    test, kind = F.lit(tile_id >= 0 and all(a < n for a, n in zip(at, sizes, strict=True)) and tile_id < 1 << 63), TYPES[schema.dim_type]
+    for d, e, a in zip(schema.dims, schema.extents, at, strict=True):
+        lo, hi = d.lo + a * e, d.lo + (a + 1) * e
+        if schema.dim_type in ("int", "int64_t"):
+            lo, hi = math.ceil(lo), math.ceil(hi)
+        test &= (F.col(d.name) >= F.lit(lo).cast(kind)) & (F.col(d.name) < F.lit(hi).cast(kind))
     return test
 
 
@@ -59,11 +85,12 @@ def squared_distance(schema: ArraySchema, point: Sequence[float]) -> Column:
 def nearest(df: DataFrame, schema: ArraySchema, point: Sequence[float], k: int) -> DataFrame:
     """The k cells nearest to a point (squared Euclidean distance in ``dist2``), ties in global order.
 
-    A top-k heap per task and a merge of k rows each; only those k rows get an order id."""
+    Each task keeps its k nearest and what is as near as the last of them; a merge does so again, and only those rows get an order id."""
     if k < 1:
         raise SchemaError("k is one at least")
     measured = df.withColumn("dist2", squared_distance(schema, point))
-    ordered, keys = with_order(measured, schema)
+    near = measured.withColumn("_rank", F.rank().over(Window.orderBy("dist2"))).where(F.col("_rank") <= k).drop("_rank")
+    ordered, keys = with_order(near, schema)
     return ordered.orderBy("dist2", *keys).limit(k).select(*schema.columns, "dist2")
 
 

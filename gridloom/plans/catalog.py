@@ -1,8 +1,12 @@
-"""Arrays of a workspace: schemas, fragments and the consolidation policy's book-keeping, as JSON beside the data."""
+"""Arrays of a workspace: schemas, fragments and the consolidation policy's book-keeping, as JSON beside the data.
+
+An array's state (schema and manifest together) is a numbered file; the highest number counts.  A change is a new file, so a crash leaves the old
+state or the new one, never a part of either."""
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import SparkSession
@@ -19,6 +23,8 @@ class Fragment:
     hi: int
     level: int = 0
     tombstones: bool = False
+    #: Buckets of a hash of the coordinates, each a sorted file; 0: files by ranges of the global order.
+    buckets: int = 0
 
     @property
     def name(self) -> str:
@@ -33,12 +39,8 @@ class Manifest:
     partitioning: dict | None = None
     last_batch: int = -1
 
-    def to_json(self) -> str:
-        return json.dumps(asdict(self))
-
     @classmethod
-    def from_json(cls, text: str) -> Manifest:
-        raw = json.loads(text)
+    def from_dict(cls, raw: dict) -> Manifest:
         return cls(**raw | {"fragments": [Fragment(**f) for f in raw["fragments"]]})
 
 
@@ -54,12 +56,23 @@ def due(fragments: list[Fragment], step: int) -> tuple[int, Fragment] | None:
     return None
 
 
+_STATE = re.compile(r"state-(\d+)\.json")
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, workspace: str):
         self.store = Store(spark, workspace)
 
+    def _numbers(self, name: str) -> list[int]:
+        return sorted(int(m[1]) for f in self.store.files(name) if (m := _STATE.fullmatch(f)))
+
+    def _state(self, name: str) -> dict:
+        if not (numbers := self._numbers(name)):
+            raise SchemaError(f"array {name} isn't defined")
+        return json.loads(self.store.read(name, f"state-{numbers[-1]}.json"))
+
     def defined(self, name: str) -> bool:
-        return self.store.exists(name, "schema.json")
+        return bool(self._numbers(name))
 
     def loaded(self, name: str) -> bool:
         return self.defined(name) and bool(self.manifest(name).fragments)
@@ -67,32 +80,35 @@ class Catalog:
     def names(self) -> list[str]:
         return [n for n in self.store.folders() if self.defined(n)]
 
-    def define(self, schema: ArraySchema, step: int = 3) -> None:
+    def define(self, schema: ArraySchema, step: int = 3, manifest: Manifest | None = None) -> None:
         if self.defined(schema.name):
             raise SchemaError(f"array {schema.name} is defined already")
-        self.store.write(Manifest(step=step).to_json(), schema.name, "manifest.json")
-        self.store.write(schema.to_json(), schema.name, "schema.json")
+        self._add(schema, manifest or Manifest(step=step), [])
 
-    def schema(self, name: str) -> ArraySchema:
-        if not self.defined(name):
-            raise SchemaError(f"array {name} isn't defined")
-        return ArraySchema.from_json(self.store.read(name, "schema.json"))
+    def _add(self, schema: ArraySchema, manifest: Manifest, numbers: list[int]) -> None:
+        number = numbers[-1] + 1 if numbers else 0
+        text = json.dumps({"schema": json.loads(schema.to_json()), "manifest": asdict(manifest)})
+        if not self.store.create(text, schema.name, f"state-{number}.json"):
+            raise SchemaError(f"array {schema.name} was changed by another session meanwhile")
+        for old in numbers[:-1]:  # the state before stays, for readers that have just listed it
+            self.store.delete(schema.name, f"state-{old}.json")
 
-    def replace_schema(self, schema: ArraySchema) -> None:
-        self.store.write(schema.to_json(), schema.name, "schema.json")
+    def schema(self, name: str) -> ArraySchema:
+        return ArraySchema.from_json(json.dumps(self._state(name)["schema"]))
 
     def manifest(self, name: str) -> Manifest:
-        return Manifest.from_json(self.store.read(name, "manifest.json"))
+        return Manifest.from_dict(self._state(name)["manifest"])
 
-    def save(self, name: str, manifest: Manifest) -> None:
-        self.store.write(manifest.to_json(), name, "manifest.json")
+    def save(self, name: str, manifest: Manifest | None = None, schema: ArraySchema | None = None) -> None:
+        """A new state with another manifest, schema, or both at once."""
+        self._add(schema or self.schema(name), manifest or self.manifest(name), self._numbers(name))
 
     def fragment_path(self, name: str, fragment: Fragment) -> str:
         return self.store.path(name, "fragments", fragment.name)
 
     def clear(self, name: str) -> None:
         """Drops the data, keeps the schema."""
-        step = self.manifest(self.schema(name).name).step
+        step = self.manifest(name).step
         self.save(name, Manifest(step=step))
         self.store.delete(name, "fragments")
 

@@ -36,17 +36,21 @@ class Store:
         finally:
             stream.close()
 
-    def write(self, text: str, *parts: str) -> None:
-        """Replaces the file: written beside it, then renamed."""
+    def files(self, *parts: str) -> list[str]:
+        folder = self._path(self.path(*parts))
+        return [f.getPath().getName() for f in self._fs.listStatus(folder) if f.isFile()] if self._fs.exists(folder) else []
+
+    def create(self, text: str, *parts: str) -> bool:
+        """A new file, complete as soon as it is there: written under another name, then renamed.  False if it is there already."""
         target, new = self._path(self.path(*parts)), self._path(self.path(*parts) + ".new")
+        if self._fs.exists(target):
+            return False
         stream = self._fs.create(new, True)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        self._fs.rename(new, target)
+        return self._fs.rename(new, target)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,25 +32,35 @@ def checked(df: DataFrame, schema: ArraySchema) -> DataFrame:
 
 
 def with_deletions(df: DataFrame, schema: ArraySchema) -> DataFrame:
-    """A cell whose attributes are all null deletes; other nulls are values."""
+    """A cell whose attributes are all null deletes, and one that a column ``_deleted`` marks; other nulls are values."""
     gone = F.lit(True)
     for name in schema.attribute_names:
         gone &= F.col(name).isNull()
-    return df.withColumn(DELETED, gone)
+    return df.withColumn(DELETED, gone | F.coalesce(F.col(DELETED), F.lit(False)) if DELETED in df.columns else gone)
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: ArraySchema) -> DataFrame:
-    """Cells of CSV files with ``_deleted``. Of lines with equal coordinates the last one counts."""
+    """Cells of CSV files with ``_deleted``.  Of lines with equal coordinates the last one counts: in the last of the paths, in the last file of a
+    folder by name, at the last place there."""
     nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.struct()])
-    lines = spark.read.csv(path, schema=nullable, comment="#", nullValue="$", mode="FAILFAST", enforceSchema=True)
-    return with_deletions(checked(last_of_each(lines, schema), schema), schema)
+    parts = []
+    for i, one in enumerate([path] if isinstance(path, str) else path):
+        lines = spark.read.csv(one, schema=nullable, comment="#", nullValue="$", mode="FAILFAST", enforceSchema=True)
+        place = F.struct(F.lit(i).alias("path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+        parts.append(lines.select(*schema.columns, place.alias(_PLACE)))
+    return with_deletions(checked(last_of_each(reduce(DataFrame.unionByName, parts), schema), schema), schema)
+
+
+#: Where a line was read; a column that tells which of a batch's rows with equal coordinates is the last one.
+_PLACE = "_place"
 
 
 def last_of_each(df: DataFrame, schema: ArraySchema) -> DataFrame:
-    """One row per coordinates: the last in reading order."""
-    numbered = df.select(*schema.columns, F.monotonically_increasing_id().alias("_line"))
-    latest = numbered.groupBy(*schema.dim_names).agg(F.max_by(F.struct(*schema.attribute_names), "_line").alias("_cell"))
-    return latest.select(*schema.dim_names, *[F.col(f"_cell.{n}").alias(n) for n in schema.attribute_names])
+    """One row per coordinates: the last one by place, or in the order in which Spark reads the frame."""
+    numbered = df if _PLACE in df.columns else df.withColumn(_PLACE, F.monotonically_increasing_id())
+    carried = [n for n in df.columns if n not in schema.dim_names and n != _PLACE]
+    latest = numbered.groupBy(*schema.dim_names).agg(F.max_by(F.struct(*carried), _PLACE).alias("_cell"))
+    return latest.select(*schema.dim_names, *[F.col(f"_cell.{n}").alias(n) for n in carried])
 
 
 def short_format(df: DataFrame, schema: ArraySchema) -> DataFrame:
