@@ -5,6 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +33,35 @@ def cut(df: DataFrame, *, tidy: bool = True) -> DataFrame:
     collected before the work begins: until then the shuffle files of the step before would stay."""
     spark = df.sparkSession
     shared_dir(spark)
-    for _ in range(2 * tidy):  # the plan's handles go in the first round, what they held in the second
+    if tidy:
+        collect_garbage(spark)
+    return df.checkpoint(eager=True)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Spark deletes shuffle files when the driver collects the frames that made them."""
+    for _ in range(2):  # the plan's handles go in the first round, what they held in the second
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
-    return df.checkpoint(eager=True)
+
+
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """df written once as Parquet in the shared folder, for the time of the block: texts take less room so than in a checkpoint."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}"
+    collect_garbage(spark)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Rows up to which a frame of a few numbers a row is broadcast (some 10 MB); larger ones are joined by shuffle.
