@@ -53,13 +53,18 @@ class Store:
         return self._fs.rename(new, target)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder of ``spark.checkpoint.dir``; unset, a temporary folder serves in local mode."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; unset, a temporary folder serves in local mode."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

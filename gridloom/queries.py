@@ -6,7 +6,7 @@ operators that look at one row at a time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.expressions import parse, predicate, preset
@@ -167,12 +167,16 @@ def ordered_load(spark, sf_dir):
 
 
 def range_partition_bounds(spark, sf_dir):
-    return tiles.partition_bounds(orders(spark, sf_dir), ORDERS, 8)
+    """Each bound's number, whether it is above the one before, and whether about its share of the cells is at or below it."""
+    cells = orders(spark, sf_dir)
+    bounds = tiles.partition_bounds(cells, ORDERS, 8).withColumn("rises", F.col("bound") > F.coalesce(F.lag("bound").over(Window.orderBy("part")), F.lit(-1)))
+    below = cells.join(F.broadcast(bounds), F.col("o_custkey") <= F.col("bound")).groupBy("part", "rises").agg(F.count("*").alias("below"))
+    return below.select(F.col("part").cast("long").alias("part"), "rises", F.abs(F.col("below") / cells.count() - (F.col("part") + 1) / 8).between(0, 0.02).alias("its_share"))
 
 
 def copartitioned_join(spark, sf_dir):
     a = tiles.hash_partitioned(orders(spark, sf_dir), ORDERS, 8)
-    b = tiles.hash_partitioned(select.subarray(orders(spark, sf_dir), ORDERS, [0, 700, 0, 262143]), ORDERS, 8)
+    b = tiles.hash_partitioned(orders(spark, sf_dir).withColumn("price", F.col("price") * 2), ORDERS, 8)
     return join(a, ORDERS, b, ORDERS)[0]
 
 
@@ -181,7 +185,7 @@ def coordinate_hash(spark, sf_dir):
 
 
 def events_1d(spark, sf_dir):
-    return select.filter_cells(select.subarray(_read(spark, sf_dir, "events").select(*EVENTS.columns), EVENTS, [1000, 8000]), EVENTS, "user_id % 10 == 3")
+    return select.filter_cells(select.subarray(_read(spark, sf_dir, "events").select(*EVENTS.columns), EVENTS, [0, 1 << 40]), EVENTS, "value > 50")
 
 
 def cell_order(spark, sf_dir):
@@ -252,10 +256,12 @@ ORACLE = {
     "aggregate_max": f"SELECT max(price) AS max_price FROM {_O}",
     "hash_load": f"SELECT * FROM {_O}",
     "ordered_load": f"SELECT * FROM {_O}",
-    "copartitioned_join": f"SELECT a.*, price AS price_2, priority AS priority_2 FROM {_O} a WHERE o_custkey BETWEEN 0 AND 700",
+    "copartitioned_join": f"SELECT a.*, price * 2 AS price_2, priority AS priority_2 FROM {_O} a",
+    "range_partition_bounds": "SELECT part, true AS rises, true AS its_share FROM range(7) AS t(part)",
+    "cell_order": f"SELECT o_custkey, arg_min(o_orderkey, id) AS first, count(*) AS cells FROM ({_hilbert_sql('o_custkey', 'o_orderkey', 18)}) GROUP BY 1",
     "coordinate_hash": f"""WITH t AS (SELECT o_custkey, o_orderkey, o_custkey || ',' || o_orderkey AS s FROM {_O})
 SELECT o_custkey, o_orderkey, list_reduce(list_prepend(CAST(length(s) AS BIGINT), list_transform(string_split(s, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: xor(xor((h << 5) & 4294967295, h >> 27), c)) AS hash FROM t""",
-    "events_1d": "SELECT event_id, user_id, value FROM events WHERE event_id BETWEEN 1000 AND 8000 AND user_id % 10 = 3",
+    "events_1d": "SELECT event_id, user_id, value FROM events WHERE value > 50",
     "tile_hilbert": _hilbert_sql(*_T, 12),
     "cell_hilbert": _hilbert_sql("o_custkey", "o_orderkey", 18),
 }
