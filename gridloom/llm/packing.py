@@ -41,7 +41,7 @@ class SegmentTokenizer:
 
     A blank is plain if both neighbours are ASCII and not white space, or letters U+00C0 to U+00FF.  Known segments are kept up to a bound of memory."""
 
-    KEEP, TOGETHER = 2_000_000, 200
+    KEEP, TOGETHER = 600_000, 200
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
