@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 
 from pyspark.sql import SparkSession
 
@@ -20,11 +21,25 @@ VERBS = {
     "nearest_neighbors": ("wACNR", ""), "retile": ("wA", "oce"), "export_to_csv": ("wAf", ""), "clear_array": ("wA", ""), "delete_array": ("wA", ""),
 }
 _REPEATED = "AaCDderta"
+ABOUT = {
+    "define_array": "Registers an array: names, domain bounds (two for each dimension), types (one for each attribute, then the dimensions'), order; tile extents make its tiles regular, else they have a capacity.",
+    "load": "Loads a CSV file or folder as an array's first batch.",
+    "update": "Adds a CSV file or folder as a further batch: new cells, other values for cells, or deletions (all attributes $).",
+    "subarray": "Stores the cells within closed ranges (two bounds for each dimension) as a new array.",
+    "filter": "Stores the cells for which an expression over the attributes isn't zero as a new array.",
+    "join": "Stores the cells that two arrays both have, with the attributes of both, as a new array.",
+    "nearest_neighbors": "Stores the given number of cells nearest to a point as a new array.",
+    "retile": "Gives an array another order, capacity or tile extents.",
+    "export_to_csv": "Writes an array's cells in global order.",
+    "clear_array": "Removes an array's cells and keeps its definition.",
+    "delete_array": "Removes an array.",
+}
 
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="gridloom", description=__doc__)
     parser.add_argument("-q", "--query", required=True, choices=[*VERBS, "help"])
+    parser.add_argument("topic", nargs="?", choices=list(VERBS), help="with help: a verb to explain")
     for letter, name in OPTIONS.items():
         parser.add_argument(f"-{letter}", f"--{name}", dest=f"opt_{ord(letter)}", action="append")
     return parser
@@ -35,7 +50,7 @@ def parse(argv: list[str]) -> tuple[str, dict[str, list[str]]]:
     found = _parser().parse_args(argv)
     given = {x: v for x in OPTIONS if (v := getattr(found, f"opt_{ord(x)}")) is not None}
     if found.query == "help":
-        return "help", given
+        return "help", {"topic": [found.topic]} if found.topic else {}
     required, optional = VERBS[found.query]
     if missing := [OPTIONS[x] for x in required if x not in given]:
         raise SchemaError(f"{found.query} needs {', '.join(missing)}")
@@ -49,6 +64,15 @@ def parse(argv: list[str]) -> tuple[str, dict[str, list[str]]]:
     return found.query, given
 
 
+def explain(verb: str) -> str:
+    """What a verb does, and its options: those that it needs, and those it may have."""
+    required, optional = VERBS[verb]
+    lines = [f"{verb}: {ABOUT[verb]}"]
+    for title, letters in (("needs", required), ("may have", optional)):
+        lines += [f"  {title} -{x}, --{OPTIONS[x]}" + (" (can repeat)" if x in _REPEATED else "") for x in letters]
+    return "\n".join(lines)
+
+
 def _number(text: str) -> float:
     try:
         value = float(text)
@@ -73,7 +97,8 @@ def run(spark: SparkSession, argv: list[str]) -> str:
     """Does what the arguments say and returns the line to print."""
     verb, given = parse(argv)
     if verb == "help":
-        return _parser().format_help()
+        return explain(*given["topic"]) if "topic" in given else _parser().format_help()
+    began = time.perf_counter()
     engine, name = Engine(spark, given["w"][0]), given["A"][0]
     one = lambda x: given[x][0]
     numbers = lambda x: [_number(v) for v in given[x]]
@@ -91,7 +116,7 @@ def run(spark: SparkSession, argv: list[str]) -> str:
         "delete_array": lambda: engine.delete_array(name),
     }
     actions[verb]()
-    return f"{verb} of {' and '.join(given['A'])}: done"
+    return f"{verb} of {' and '.join(given['A'])}: done in {time.perf_counter() - began:.2f} s"
 
 
 def main(argv: list[str] | None = None) -> int:

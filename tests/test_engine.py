@@ -210,3 +210,97 @@ def test_stream(engine, loaded, spark, tmp_path):
     n = engine.catalog.manifest("A").next_seq
     engine.update_cells("A", spark.createDataFrame([(7, 7, 3.0, 4)], "i long, j long, attr1 float, attr2 int"), batch=0)
     assert engine.catalog.manifest("A").next_seq == n
+
+
+def test_marked_frames_are_checked_too(engine, spark):
+    engine.define_array(array())
+    frame = lambda rows: spark.createDataFrame(rows, "i long, j long, attr1 double, attr2 long, _deleted boolean")
+    with pytest.raises(Exception, match="no cell of this array"):
+        engine.load_cells("A", frame([(101, 0, 1.0, 1, False)]))
+    engine.load_cells("A", frame([(2, 2, 1.0, 1, False), (2, 2, 5.0, 5, False), (3, 3, 1.0, 1, True), (4, 4, 1.0, 1, None), (5, 5, None, None, False)]).coalesce(1))
+    assert {tuple(r) for r in engine.get("A")} == {(2, 2, 5.0, 5), (4, 4, 1.0, 1)}
+
+
+def test_the_last_file_counts(engine, csv, tmp_path):
+    engine.define_array(array())
+    big = [(i, j, 0, 0) for i in range(60) for j in range(60)]
+    first, second = csv([*big, (1, 1, 111, 1)], "z_large.csv"), csv([(1, 1, 222, 2)], "a_small.csv")
+    engine.load("A", [first, second])
+    engine.define_array(array("B"))
+    engine.load("B", [second, first])
+    of = lambda name: [tuple(r) for r in engine.subarray(name, [1, 1, 1, 1]).collect()]
+    assert of("A") == [(1, 1, 222, 2)] and of("B") == [(1, 1, 111, 1)]
+
+
+def test_hash_buckets_join_without_exchange(engine, csv, spark):
+    names = ("A", "B")
+    for name in names:
+        engine.define_array(array(name), 9)
+        engine.load_partitioned(name, csv(CELLS, "a.csv"), 3, "hash")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    try:
+        assert "Exchange" not in plan(engine.join(*names)) and engine.join(*names).count() == len(CELLS)
+        engine.update("A", csv(UP1, "u.csv"))
+        engine.consolidate("A")
+        assert "Exchange" not in plan(engine.join(*names))
+        assert engine.cells("A").count() == 15
+        again = Engine(spark, engine.catalog.store.root)  # as another session would read it
+        assert "Exchange" not in plan(again.join(*names))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    engine.clear_array("A")
+    engine.load_partitioned("A", csv(CELLS[:3], "b.csv"), 2, "hash")
+    assert engine.cells("A").count() == 3
+    engine.delete_array("A")
+
+
+def test_states_are_whole_or_not_there(engine, loaded):
+    loaded()
+    store = engine.catalog.store
+    numbers = lambda: sorted(f for f in store.files("A") if f.startswith("state-") and f.endswith(".json"))
+    assert len(numbers()) == 2
+    last = numbers()[-1]
+    store.create("{", "A", "state-99.json.new")  # what a crash while writing leaves
+    assert list(engine.get("A")) and numbers()[-1] == last
+    assert not store.create("{}", "A", last)
+    engine.retile("A", order="row-major", extents=(5, 5))
+    assert engine.schema("A").order == "row-major" and len(list(engine.get("A"))) == len(CELLS)
+
+
+def test_tiles_by_id_and_rank(engine, loaded):
+    for order in ("row-major", "column-major", "hilbert"):
+        name = order.split("-")[0]
+        loaded(name, order=order, extents=(5, 5))
+        ids = [r.tile_id for r in engine.tiles(name).orderBy("tile_id").collect()]
+        whole = {r.tile_id: set() for r in engine.tiles(name).collect()}
+        for r in tiles.tiled(engine.cells(name), engine.schema(name)).collect():
+            whole[r.tile_id].add((r.i, r.j))
+        assert {t: set(coordinates(engine.tile(name, t).collect())) for t in ids} == whole
+        assert set(coordinates(engine.tile_by_rank(name, 1).collect())) == whole[ids[1]]
+        assert engine.tile_by_rank(name, 99).count() == 0 and engine.tile(name, -1).count() == 0 and engine.tile(name, 10**6).count() == 0
+    loaded("irregular")
+    assert engine.tile("irregular", 1).count() == 2
+
+
+def test_nearest_cells_give_ids_to_few(engine, loaded):
+    """The order's ids come after the cut to the k nearest; ties follow the global order."""
+    loaded()
+    plan = engine.nearest_neighbors("A", [10, 10], 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("WindowGroupLimit")  # nearer to the result
+    engine.define_array(array("T"))
+    engine.load_cells("T", engine.spark.createDataFrame([(5 + x, 5 + y, 1.0, 1) for x, y in ((2, 0), (-2, 0), (0, 2), (0, -2), (1, 1))], "i long, j long, attr1 float, attr2 int"))
+    order = coordinates(engine.get("T"))
+    found = engine.nearest_neighbors("T", [5, 5], 3).collect()
+    ties = [c for c in order if c != (6, 6)]
+    assert set(coordinates(found)) == {(6, 6), *ties[:2]}
+
+
+def test_fractional_bounds_reach_the_scan(engine, loaded):
+    loaded()
+    found = engine.subarray("A", [15.5, 19.5, 19.5, 22.01])
+    assert set(coordinates(found.collect())) == {(16, 22), (17, 21), (19, 20)}
+    scan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "i#" in scan and ">= 16)" in scan and "cast(i" not in scan
+    assert engine.subarray("A", [10.2, 10.8, 0, 100]).count() == 0

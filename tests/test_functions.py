@@ -111,6 +111,15 @@ def test_text_hash(spark):
     assert {r.s: r.h for r in rows} == {w: plain(w) for w in words}
 
 
+def test_help_of_each_verb(spark):
+    from gridloom.cli import OPTIONS, VERBS
+
+    for verb, (required, optional) in VERBS.items():
+        text = run(spark, ["-q", "help", verb])
+        assert text.startswith(f"{verb}: ") and all(f"--{OPTIONS[x]}" in text for x in required + optional)
+    assert "--array-name" in run(spark, ["-q", "help"])
+
+
 def test_cli(spark, tmp_path):
     ws, data = str(tmp_path / "ws"), tmp_path / "a.csv"
     data.write_text("1,2,3\n4,5,-6\n")
