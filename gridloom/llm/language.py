@@ -16,7 +16,9 @@ of all pages is a few rows by the time it is shuffled.
 Defined results: a null page has no text, a null or broken address the empty
 host and suffix, a page without a declaration the declaration ""; rows with a
 null id are left out; repeated rows count as often as they are there; an empty
-table gives an empty result; ties go to the first language by name.
+table gives an empty result; ties go to the first language by name; without a
+labelled document the language is the declared one, or null, and has no
+probability.
 """
 
 from __future__ import annotations
@@ -35,8 +37,10 @@ from .wordbatch import LOWER, U, mix, rows_of, slices, windows
 
 SAMPLE, SAMPLE_CHARS, TABLE, TRIGRAMS, PULL = 2000, 20_000, 1 << 15, 50, 20.0
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
+_HIDES = re.compile(r"<!--|<(script|style)\b", re.I)
+_SHOWS = {"": re.compile("-->"), "script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I)}
 _TAG = re.compile(r"<[^>]*>|&[a-z#0-9]+;|\s+", re.I)
+_REST = re.compile(r"&[a-z#0-9]+;|\s+", re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b", re.I)
 
 
@@ -63,7 +67,19 @@ def learn(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def visible(html: str) -> str:
-    return _TAG.sub(" ", _HIDDEN.sub(" ", html))
+    """The text outside comments, scripts, styles and tags.  What is never closed is text; each kind's missing end is looked for once, so time is linear."""
+    parts, at, look, missing = [], 0, 0, set()
+    while m := _HIDES.search(html, look):
+        kind, look = (m[1] or "").lower(), m.end()
+        end = None if kind in missing else _SHOWS[kind].search(html, look)
+        if end:
+            parts.append(html[at : m.start()])
+            at = look = end.end()
+        else:
+            missing.add(kind)
+    text = " ".join([*parts, html[at:]])
+    last = text.rfind(">") + 1  # no tag ends after it
+    return _TAG.sub(" ", text[:last]) + _REST.sub(" ", text[last:])
 
 
 def address(url: str) -> tuple[str, str, str]:
@@ -108,7 +124,8 @@ def identify(pages: DataFrame, labelled: DataFrame, *, page: str = "page_id", ur
     ids = near.select("k").orderBy(F.xxhash64("k"), "k").limit(SAMPLE).distinct()
     rows = near.join(F.broadcast(ids), "k").orderBy("k", "text", "lang").limit(2 * SAMPLE).collect()
     if not rows:
-        raise ValueError("no labelled document to learn languages from")
+        seen = _evidence(pages, ([""], np.zeros((1, TABLE))), page, url, html)
+        return seen.select("page_id", F.nullif("declared", F.lit("")).alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"), "declared", "host")
     names, table = learn([r.text for r in rows], [r.lang for r in rows])
     seen = cut(_evidence(pages, (names, table), page, url, html))
     counted = seen.groupBy("host", "domain", "suffix", "declared", "told").agg(F.count("*").alias("m"))

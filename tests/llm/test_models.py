@@ -212,6 +212,29 @@ def test_language(spark):
     assert language.identify(pages.where("false"), labelled).collect() == []
 
 
+def test_visible_text():
+    """As plain patterns find it, whatever is left open; and in linear time."""
+    hidden = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
+    tag = re.compile(r"<[^>]*>|&[a-z#0-9]+;|\s+", re.I)
+    rng = random.Random(3)
+    parts = ["<script>", "</script >", "<STYLE a='b'>", "</style>", "<!--", "-->", "<p>", "<", ">", "x", " ", "&amp;", "word", "</Script>", "<scripted>", "\n"]
+    for _ in range(3000):
+        html = "".join(rng.choice(parts) for _ in range(rng.randrange(0, 25)))
+        assert language.visible(html).split() == tag.sub(" ", hidden.sub(" ", html)).split()
+    for piece in ("<script>", "<!--", "<", "<style>x"):
+        assert language.visible(piece * 400_000) is not None
+
+
+def test_language_without_labels_and_awkward_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.de/x", '<html lang="DE"><p>und'), (2, None, None), (None, "http://b.fr", "x"), (3, "http://b.fr", "<p>" + "le " * 1_200_000), (3, "http://b.fr", "<p>le")], "page_id long, url string, html string").withColumn("told", F.lit("x")).withColumn("score", F.lit(1))
+    none = spark.createDataFrame([(1, None, "en"), (2, "text", None)], "doc_id long, text string, lang string")
+    found = sorted((r.page_id, r.lang, r.probability, r.host) for r in language.identify(pages, none).collect())
+    assert [(r[0], r[1], r[2]) for r in found] == [(1, "de", None), (2, None, None), (3, None, None), (3, None, None)]
+    some = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("the house and the river", "en"), ("le chat et la maison", "fr")] * 5)], "doc_id long, text string, lang string")
+    assert sorted(r.page_id for r in language.identify(pages, some).collect()) == [1, 2, 3, 3]
+    assert language.identify(pages.where("false"), none).collect() == []
+
+
 def test_trigrams_stay_within_rows():
     data, offsets = np.frombuffer("abcdéxyzw".encode(), dtype=np.uint8), np.array([0, 1, 1, 3, 6, 10])
     places, ptr = language.trigrams(data, offsets)
