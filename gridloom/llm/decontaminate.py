@@ -112,15 +112,15 @@ def compile_patterns(items: list[tuple[str, str]], window: int) -> tuple[list[Pa
 
 
 def _passes(benchmark: DataFrame, item: str, text: str, window: int) -> Iterator[tuple[list[PatternTable], list[str]]]:
-    """Compiled blocks of the benchmark; the driver holds one block at a time."""
-    block, patterns = [], 0
+    """Compiled blocks of the benchmark, one at least; the driver holds one block at a time."""
+    block, patterns, any_yet = [], 0, False
     for row in benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string"), F.coalesce(F.col(text), F.lit(""))).toLocalIterator():
         block.append((row[0], row[1]))
         patterns += max(1, len(row[1]) // 2)
         if patterns >= PASS_PATTERNS:
             yield compile_patterns(block, window)
-            block, patterns = [], 0
-    if block or not patterns:
+            block, patterns, any_yet = [], 0, True
+    if block or not any_yet:
         yield compile_patterns(block, window)
 
 
@@ -146,6 +146,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, d
         frame = frame.mapInArrow(scan, _ddl(last))
         if not last:
             frame = cut(frame)
+            shared.unpersist()
         current = following
     return frame
 

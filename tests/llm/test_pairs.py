@@ -164,6 +164,27 @@ def test_benchmark(spark, docs, monkeypatch, limit):
     assert all(sum(len(ALNUM.findall(lower(raw[r.doc_id][s.start : s.end].decode()))) for s in r.spans) == r.n_hit for r in found)
 
 
+def test_passes_hold_the_whole_benchmark(spark, monkeypatch):
+    """A block that ends at the limit is followed by no empty one; an empty benchmark is one block."""
+    monkeypatch.setattr(decontaminate, "PASS_PATTERNS", 2)
+    bench = spark.createDataFrame([(i, "abcd") for i in range(3)], "item_id long, text string")
+    assert [ids for _, ids in decontaminate._passes(bench, "item_id", "text", 10)] == [["0"], ["1"], ["2"]]
+    assert [ids for _, ids in decontaminate._passes(bench.where("false"), "item_id", "text", 10)] == [[]]
+
+
+def test_texts_over_a_megabyte(docs):
+    """Words that cross the edges of hashing tiles, whatever operator reads them."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(99999)}" for _ in range(400_000)]
+    long = " ".join([*words, "x" * 1_500_000, *words[:60]])
+    texts = [long, long + " end", " ".join(words[1000:1200]), "own " + "y" * 1_200_000]
+    near = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs(texts)).collect()}
+    assert near == {0: 0, 1: 0, 2: 2, 3: 3}
+    kept = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs(texts), 50).collect()}
+    n = len(long.split())
+    assert kept == {0: (n, 0), 1: (n + 1, n), 2: (200, 200), 3: (2, 0)}
+
+
 def test_null_ids_repeated_rows_and_empty_tables(spark, docs):
     frame = docs(["a b c d e f", "a b c d e f", "x y", "z"], [3, 3, None, 9])
     bench = spark.createDataFrame([], "item_id long, text string")
