@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.ids import with_order
@@ -13,7 +13,15 @@ from .operators import fragments, select, tiles
 from .operators.join import join as join_arrays
 from .plans.catalog import Catalog, Fragment, Manifest, due
 from .schema import DELETED, SEQ, ArraySchema, SchemaError
-from .sources.csv import checked, last_of_each, read_csv, with_deletions, write_csv
+from .sources.csv import PLACE, checked, in_reading_order, read_csv, with_deletions, write_csv
+
+
+def _last_of_each(spread: DataFrame, keys: list[Column]) -> DataFrame:
+    """Of rows with equal coordinates the last by place; those rows are in one partition and adjacent once it is sorted, so nothing is shuffled."""
+    if PLACE not in spread.columns:
+        return spread
+    last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(PLACE)))
+    return spread.withColumn("_n", last).where("_n = 1").drop("_n", PLACE)
 
 
 class Engine:
@@ -193,7 +201,7 @@ class Engine:
     def _prepared(self, cells: DataFrame, schema: ArraySchema) -> DataFrame:
         marks = [F.col(DELETED).cast("boolean").alias(DELETED)] if DELETED in cells.columns else []
         typed = cells.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.struct()], *marks)
-        return with_deletions(checked(last_of_each(typed, schema), schema), schema)
+        return with_deletions(checked(in_reading_order(typed), schema), schema)
 
     def _batches(self, schema: ArraySchema, parts: list[Fragment]) -> DataFrame:
         stored = schema.struct(internal=True)
@@ -214,14 +222,15 @@ class Engine:
     def _write(self, schema: ArraySchema, cells: DataFrame, fragment: Fragment, partitions: int | None = None) -> None:
         """Range-partitioned and sorted in global order, so that the files' statistics prune ranges of coordinates; or hash buckets, sorted by coordinates."""
         path, dims = self.catalog.fragment_path(schema.name, fragment), schema.dim_names
+        stored = [f.name for f in schema.struct(internal=True)]
         if fragment.buckets:
-            spread = cells.select(*[f.name for f in schema.struct(internal=True)]).repartition(fragment.buckets, *dims)
+            spread = _last_of_each(cells.repartition(fragment.buckets, *dims), [F.col(n) for n in dims]).select(*stored)
             self._forget(schema.name, fragment)
             spread.write.bucketBy(fragment.buckets, *dims).sortBy(*dims).format("parquet").option("path", path).mode("overwrite").saveAsTable(self._table(schema.name, fragment))
             return
         ordered, keys = with_order(cells, schema)
         spread = ordered.repartitionByRange(partitions, *keys) if partitions else ordered.repartitionByRange(*keys)
-        spread.sortWithinPartitions(*keys).select(*schema.columns, SEQ, DELETED).write.mode("overwrite").parquet(path)
+        _last_of_each(spread, keys).sortWithinPartitions(*keys).select(*stored).write.mode("overwrite").parquet(path)
 
     def _forget(self, name: str, fragment: Fragment) -> None:
         if fragment.buckets:  # the table only: its files are elsewhere

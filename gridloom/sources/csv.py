@@ -40,27 +40,24 @@ def with_deletions(df: DataFrame, schema: ArraySchema) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: ArraySchema) -> DataFrame:
-    """Cells of CSV files with ``_deleted``.  Of lines with equal coordinates the last one counts: in the last of the paths, in the last file of a
-    folder by name, at the last place there."""
+    """Cells of CSV files with ``_deleted``, and with the places that tell which of several lines with equal coordinates counts: the last one, in the last
+    of the paths, in the last file of a folder by name."""
     nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.struct()])
     parts = []
     for i, one in enumerate([path] if isinstance(path, str) else path):
         lines = spark.read.csv(one, schema=nullable, comment="#", nullValue="$", mode="FAILFAST", enforceSchema=True)
         place = F.struct(F.lit(i).alias("path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-        parts.append(lines.select(*schema.columns, place.alias(_PLACE)))
-    return with_deletions(checked(last_of_each(reduce(DataFrame.unionByName, parts), schema), schema), schema)
+        parts.append(lines.select(*schema.columns, place.alias(PLACE)))
+    return with_deletions(checked(reduce(DataFrame.unionByName, parts), schema), schema)
 
 
-#: Where a line was read; a column that tells which of a batch's rows with equal coordinates is the last one.
-_PLACE = "_place"
+#: Where a line was read: of a batch's rows with equal coordinates the last one by this column counts.
+PLACE = "_place"
 
 
-def last_of_each(df: DataFrame, schema: ArraySchema) -> DataFrame:
-    """One row per coordinates: the last one by place, or in the order in which Spark reads the frame."""
-    numbered = df if _PLACE in df.columns else df.withColumn(_PLACE, F.monotonically_increasing_id())
-    carried = [n for n in df.columns if n not in schema.dim_names and n != _PLACE]
-    latest = numbered.groupBy(*schema.dim_names).agg(F.max_by(F.struct(*carried), _PLACE).alias("_cell"))
-    return latest.select(*schema.dim_names, *[F.col(f"_cell.{n}").alias(n) for n in carried])
+def in_reading_order(df: DataFrame) -> DataFrame:
+    """df with places in the order in which Spark reads it."""
+    return df.withColumn(PLACE, F.monotonically_increasing_id())
 
 
 def short_format(df: DataFrame, schema: ArraySchema) -> DataFrame:
