@@ -1,17 +1,12 @@
-"""Connected components, and links found through shared keys without listing the pairs of a group."""
+"""Connected components."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import cut
 
-#: For the first rounds and all later ones: how many times the postings the pairs may be that a last round compares, and else how many nodes of a key it pairs with the others.
-EXAMINED, PIVOTS = (1, 64, 1024), (1, 32, 1024)
-
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (its smallest reachable node) of every node in the edges ``a, b``; large-star and small-star steps until nothing changes."""
@@ -29,52 +24,3 @@ def components(edges: DataFrame) -> DataFrame:
             break
         sign = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def link(keys: DataFrame, nodes: DataFrame, compatible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], details: list[str]) -> DataFrame:
-    """Components of the nodes whose links are among nodes that share a key.
-
-    keys: ``key, node``, no row twice; nodes: ``node, central`` and the details that ``compatible(left prefix, right prefix)`` compares, a test that all links
-    pass; verify gets ``a, b`` and returns those that link.
-
-    Keys with the same nodes count as one.  If the pairs are more than the postings, each key first pairs its most central nodes with the others, which
-    makes dense groups one component; a key whose nodes are in one component is settled.  As soon as the pairs across components are few enough (``EXAMINED``
-    times the postings), all of them are compared where the key's rows meet, and those that pass are verified; so no link is lost, and only pairs that may add
-    something are ever rows.
-    """
-    h = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    same = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), *h).where("lo < hi")
-    chosen = same.groupBy("n", "lo", "hi", "x0", "x1").agg(F.min("key").alias("key")).select("key")
-    by_key = Window.partitionBy("key")
-    postings = keys.join(chosen, "key", "left_semi").join(nodes.select("node", "central", *details), "node")
-    live = cut(postings.withColumn("rk", F.row_number().over(by_key.orderBy(F.desc("central"), "node"))).drop("central"))
-    total = live.count()
-    edges = tested = labels = None
-    done, turn, last = 0, 0, not total
-    while not last:
-        if labels is None:
-            live = live.withColumn("c", F.col("node"))
-        else:
-            live = live.drop("c").where(F.col("rk") > done).join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-            mixed = live.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("key")
-            live = cut(live.join(mixed, "key", "left_semi"))
-        sizes = live.groupBy("key", "c").agg(F.count("*").cast("double").alias("m")).groupBy("key").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("t"))
-        across = (sizes.agg(F.sum("t")).first()[0] or 0) / 2
-        if not across:
-            break
-        last = across <= total * EXAMINED[turn] + 10_000
-        left, right = (live.select("key", *[F.col(x).alias(f"{side}_{x}") for x in ("node", "c", "rk", *details)]) for side in "lr")
-        now, turn = done + PIVOTS[turn], min(turn + 1, len(PIVOTS) - 1)
-        if not last:
-            left = left.where(F.col("l_rk") <= now)
-        pairs = left.join(right, "key").where((F.col("l_rk") < F.col("r_rk")) & (F.col("l_c") != F.col("r_c")) & compatible("l_", "r_"))
-        pairs = pairs.select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = cut(verify(pairs).select("a", "b"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-        done = now
-    if labels is None:
-        return keys.sparkSession.createDataFrame([], "node long, component long")
-    return labels

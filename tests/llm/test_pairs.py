@@ -82,23 +82,15 @@ def test_jaccard_frequent_class(docs, monkeypatch):
     assert found == brute_jaccard(enumerate(texts))
 
 
-def test_rounds_lose_no_link(spark, monkeypatch):
-    """With the least room, rounds of central nodes come first; components are the same."""
-    from gridloom.llm import components
+def test_components_of_chains_stars_and_rings(spark):
+    from gridloom.llm.components import components
 
-    monkeypatch.setattr(components, "EXAMINED", (0, 0))
-    monkeypatch.setattr(components, "PIVOTS", (1, 40))
     rng = random.Random(3)
-    keys = [(k, n) for k in range(6) for n in rng.sample(range(400), 200)]
-    edges = {(a, b) for a in range(400) for b in range(a + 1, 400) if b - a == 7 and a % 5}
-    frame = spark.createDataFrame(keys, "key long, node long")
-    nodes = spark.createDataFrame([(n, n % 3) for n in range(400)], "node long, central int")
-    truth = spark.createDataFrame(sorted(edges), "a long, b long")
-    got = {r.node: r.component for r in components.link(frame, nodes, lambda x, y: F.lit(True), lambda p: p.join(truth, ["a", "b"], "left_semi"), []).collect()}
-    held = {}
-    for k, n in keys:
-        held.setdefault(k, set()).add(n)
-    root = list(range(400))
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(200 + i, 200 + (i + 1) % 40) for i in range(40)] + [(300, 300)]
+    edges += [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(120)]
+    rng.shuffle(edges)
+    frame = spark.createDataFrame([*edges, *edges[:50]], "a long, b long")
+    root = list(range(600))
 
     def find(i):
         while root[i] != i:
@@ -106,10 +98,11 @@ def test_rounds_lose_no_link(spark, monkeypatch):
         return i
 
     for a, b in edges:
-        if any(a in s and b in s for s in held.values()):
-            p, q = find(a), find(b)
-            root[max(p, q)] = min(p, q)
-    assert {n: got.get(n, n) for n in range(400)} == {n: find(n) for n in range(400)}
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    wanted = {n: find(n) for a, b in edges if a != b for n in (a, b)}
+    assert {r.node: r.component for r in components(frame).collect()} == wanted
+    assert components(frame.where("false")).collect() == []
 
 
 def brute_substrings(rows, width):
