@@ -52,7 +52,7 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}"
     collect_garbage(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:

@@ -135,20 +135,20 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def windows(h: np.ndarray, k: int, base: int = WORD_BASE) -> np.ndarray:
-    """Rabin-Karp hash of every run of k values: sum of h[i+j] * base**j, by doubling; ``len(h)-k+1`` values, unmixed."""
-    n = len(h) - k + 1
+    """Rabin-Karp hash of every run of k values: sum of h[i+j] * base**j in the values' own width, by doubling; ``len(h)-k+1`` values, unmixed."""
+    n, kind, limit = len(h) - k + 1, h.dtype.type, 1 << 8 * h.dtype.itemsize
     if n <= 0:
-        return np.zeros(0, dtype=U)
+        return h[:0]
     out, done, block, size = None, 0, h, 1
     while True:
         if k & size:
             part = block[done : done + n]
-            out = part.copy() if out is None else out + part * U(pow(base, done, 1 << 64))
+            out = part.copy() if out is None else out + part * kind(pow(base, done, limit))
             done += size
         size *= 2
         if size > k:
             return out
-        block = block[: len(block) - size // 2] + block[size // 2 :] * U(pow(base, size // 2, 1 << 64))
+        block = block[: len(block) - size // 2] + block[size // 2 :] * kind(pow(base, size // 2, limit))
 
 
 def inside_rows(ptr: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
