@@ -63,9 +63,10 @@ def _slice_features(data, offsets):
 
 
 def _examples(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(feature numbers, their shares) of each text."""
+    """(feature numbers, their shares) of each text: views of long arrays, one a slice, whose memory goes back when they do."""
     out = []
     for lo, hi, data, offsets in slices(pa.array(texts, type=pa.string())):
+        found = []
         words, inverse, ids, ptr, same = _slice_features(data, offsets)
         for r in range(hi - lo):
             a, b = words.ptr[r], words.ptr[r + 1]
@@ -75,7 +76,9 @@ def _examples(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             weight = np.append(np.repeat(k, n), same[a:b].sum()).astype(np.float64)
             f, at = np.unique(numbers, return_inverse=True)
             share = np.bincount(at, weights=weight)
-            out.append((f, (share / max(share.sum(), 1)).astype(np.float32)))
+            found.append((f.astype(np.int32), (share / max(share.sum(), 1)).astype(np.float32)))
+        ends = np.cumsum([len(f) for f, _ in found])[:-1]
+        out += zip(*(np.split(np.concatenate(x), ends) for x in zip(*found, strict=True)), strict=True)
     return out
 
 
@@ -109,10 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str =
     """A model from labelled rows whose crc32(id as text) mod 5 isn't 0: the first ``TRAIN_ROWS`` by a hash of the id."""
     usable = labels.where(F.col(doc).isNotNull() & F.col(label).isin(0, 1)).select(F.col(doc).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(TRAIN_ROWS)
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "y", "text").limit(2 * TRAIN_ROWS).collect()
-    if not rows:
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "y", "text").limit(2 * TRAIN_ROWS).toArrow()
+    if not rows.num_rows:
         return np.zeros(1 << BITS, dtype=np.float32), 0.0
-    return train([r.text for r in rows], [r.y for r in rows])
+    return train(rows["text"].to_pylist(), rows["y"].to_pylist())
 
 
 def _scores(column: pa.Array, odds: np.ndarray, bias: float) -> np.ndarray:
