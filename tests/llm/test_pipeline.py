@@ -128,3 +128,27 @@ def test_lines_against_brute_force(spark):
     kept = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, frame, None).collect()}
     assert kept == {i: (t, len(t)) for i, t in wanted.items()}
     assert sum(i >= 1000 for i in kept) < 5
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
+    folder = str(tmp_path)
+    tables(spark, folder)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.createDataFrame([], schema)
+    for name, stage in stages.items():
+        out = stage(spark, docs, folder)
+        assert out.collect() == [] and (name == "pack" or out.columns == docs.columns)
+    rows = [(1, "stone river light garden " * 8, "en", "s", 9), (1, "stone river light garden " * 8, "en", "s", 9), (None, "no id", "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, schema)
+    for name in ("_n_removed", "_n_lines", "_doc", "_verdicts", "node", "score", "component_id", "owner", "hits", "items", "task", "length"):
+        docs = docs.withColumn(name, F.lit("x"))
+    for name, stage in stages.items():
+        out = stage(spark, docs, folder)
+        found = out.collect()
+        if name == "pack":
+            assert sorted(r.doc_id for r in found) == [1, 1, 2, 3]
+        else:
+            assert out.columns == docs.columns and {2, 3} <= {r.doc_id for r in found}
+            assert all(r.node == "x" and r._n_removed == "x" for r in found)
+            docs = spark.createDataFrame(found, docs.schema)
