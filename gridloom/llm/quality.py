@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import release_memory
 from .exchange import stream
 from .wordbatch import NOT_SPACE, U, Words, mix, ragged, slices, windows
 
@@ -115,7 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc: str = "doc_id", text: str =
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "y", "text").limit(2 * TRAIN_ROWS).toArrow()
     if not rows.num_rows:
         return np.zeros(1 << BITS, dtype=np.float32), 0.0
-    return train(rows["text"].to_pylist(), rows["y"].to_pylist())
+    texts, ys = rows["text"].to_pylist(), rows["y"].to_pylist()
+    del rows
+    model = train(texts, ys)
+    del texts
+    release_memory()
+    return model
 
 
 def _scores(column: pa.Array, odds: np.ndarray, bias: float) -> np.ndarray:
