@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import cut
-from .exchange import stream
+from .exchange import per_task, stream
 from .wordbatch import ALNUM, U, Words, inside_rows, mix, ragged, rows_of, slices
 
 _BLOCK = U(0x9FB21C651E98DF25)
@@ -143,7 +143,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, d
                 for lo, hi, data, offsets in slices(batch.column(1)):
                     yield _scan_slice(batch, lo, hi, Words(data, offsets, ALNUM, lower=True), offsets, tables, ids, final if last else state)
 
-        frame = frame.mapInArrow(scan, _ddl(last))
+        frame = frame.mapInArrow(per_task(scan), _ddl(last))
         if not last:
             frame = cut(frame)
             shared.unpersist()

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .cluster import beside, buckets_for, cut
 from .components import components
-from .exchange import PACKET, by_home, by_owner, exchange, firsts, packet_rows, packets, stream, tallied, unpack
+from .exchange import PACKET, by_home, by_owner, exchange, firsts, packet_rows, packets, per_group, stream, tallied, unpack
 from .wordbatch import NOT_SPACE, U, Words, mix, packed, ragged, rows_of, shingle_sets, slices
 
 #: A token that more components hold, or that as many as LOCAL classes of one slice hold, is of the frequent class.
@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle: int = 5, *, doc
 
     told = sets.select("node", "n", "odd").join(named, "node", "left").withColumn("c", F.coalesce("c", "node"))
     postings = known.join(told, "node").select("node", "n", "c", "odd", "tokens", "df").mapInArrow(stream(index), "bucket int, a binary, b binary")
-    met = postings.groupBy("bucket").applyInArrow(meet, "bucket int, a binary, b binary").groupBy("bucket").applyInArrow(distinct_pairs, "a long, b long")
+    met = postings.groupBy("bucket").applyInArrow(per_group(meet), "bucket int, a binary, b binary").groupBy("bucket").applyInArrow(per_group(distinct_pairs), "a long, b long")
     more = verify(met)
     if not more.isEmpty():
         labels = components(edges.unionByName(more))

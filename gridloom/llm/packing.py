@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cluster import cut
-from .exchange import stream
+from .exchange import per_task, stream
 from .wordbatch import U, ragged, rows_of, slices, span_hashes
 
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, task long, nth long"
@@ -272,7 +272,7 @@ def pack(docs: DataFrame, tokenizer: str | Callable[[], str], capacity: int = 20
         for batch in batches:
             yield from run(batch)
 
-    table = cut(source.mapInArrow(pieces, _PIECES))
+    table = cut(source.mapInArrow(per_task(pieces), _PIECES))
     counted = cut(table.groupBy("task", "length").agg(F.count("*").alias("m")))
     counts = {r[0]: r[1] for r in counted.groupBy("length").agg(F.sum("m")).collect()}  # capacity rows at most
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

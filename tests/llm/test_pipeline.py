@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gridloom.llm import exchange
 from gridloom.llm.line_dedup import edit_distance
 from gridloom.llm.packing import SegmentTokenizer, public_tokenizer
 
@@ -152,3 +153,13 @@ def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path):
             assert out.columns == docs.columns and {2, 3} <= {r.doc_id for r in found}
             assert all(r.node == "x" and r._n_removed == "x" for r in found)
             docs = spark.createDataFrame(found, docs.schema)
+
+
+def test_workers_give_memory_back_after_each_task_and_group(monkeypatch):
+    """Spark keeps Python workers for the next stages, so what they don't give back adds up over the pipeline."""
+    calls = []
+    monkeypatch.setattr(exchange, "release_memory", lambda: calls.append(1))
+    run = exchange.stream(lambda batch: iter([batch, batch]))
+    assert list(run(iter([1, 2]))) == [1, 1, 2, 2] and len(calls) == 1
+    assert exchange.per_group(lambda table: table + 1)(1) == 2 and len(calls) == 2
+    assert list(exchange.per_task(lambda batches: (x for x in batches))(iter([3]))) == [3] and len(calls) == 3
